@@ -1,0 +1 @@
+"""Analysis of code-coverage reports on Spark."""
