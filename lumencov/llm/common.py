@@ -1,50 +1,19 @@
-"""Shared folder, materialised tables and Arrow helpers of the llm operators."""
+"""Tables, texts and Arrow batches of the llm operators."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of one Arrow batch handed to Python, so that very long texts don't pile up in a worker.
-BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Where the setting is unset, a local session (as in tests) gets a temporary folder; on a
-    cluster that would be a machine's own disk, so an error is raised instead.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        base = f"file://{tempfile.gettempdir()}/lumencov-{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", base)
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        atexit.register(lambda: _delete(fs, path))
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+from ..plans.staging import materialise, shared_dir
 
+__all__ = ["documents", "map_arrow", "materialise", "shared_dir", "small_batches", "whole_text"]
 
-def _delete(fs, path) -> None:
-    try:
-        fs.delete(path, True)
-    except Exception:  # the JVM may have gone by then
-        pass
-
-
-def materialise(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends at a replicated table."""
-    df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+#: Rows and bytes of one Arrow batch handed to Python, so that very long texts don't pile up in a worker.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
