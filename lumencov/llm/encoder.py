@@ -1,84 +1,116 @@
-"""Encoding of whole texts by the tokenizers library, with a bounded cache of words.
+"""Encoding of whole texts by the tokenizers library, with a bounded cache of chunks.
 
-Byte-level BPE merges never cross the pieces that the pre-tokenizer cuts, so the library has
-to see each distinct piece once only: its ids are kept, and a text's ids are those of its
-pieces joined. Texts with characters beyond Latin go to the library whole, as the two
-pre-tokenizers may follow different Unicode versions there.
+Byte-level BPE merges never cross the pieces that the pre-tokenizer cuts, and a piece never crosses from
+a character that isn't white space to a space. So where single spaces stand between other
+characters, the text between two spaces, with the first of them, is encoded alike everywhere: the library's
+model has to see each such chunk once only, its ids are kept, and a text's ids are those of its chunks joined.
+Texts with characters beyond Latin go through the library whole, as its pre-tokenizer and the pattern here may
+follow different Unicode versions there.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 from itertools import islice
+from operator import attrgetter
 
 import numpy as np
 import regex
 
-#: Words that a worker keeps; beyond it the later half is dropped (frequent words come early).
-CACHE_WORDS = 300_000
+#: Chunks that a worker keeps; beyond it the later half is dropped (frequent ones come early).
+CACHE_CHUNKS = 500_000
+KEPT_LENGTH = 10  # characters of a chunk that is kept: longer ones rarely come again
 _UNUSUAL = re.compile("[^\t\n\r -~¡-¬®-ɏ]")
+_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+_ID = attrgetter("id")
+_OTHER_SPACE = re.compile(r"[^\S\n ]")
+
+
+def evenly_spaced(text: str) -> bool:
+    """Whether every space stands alone between two characters that are no white space, and no white space but line feeds is there."""
+    return not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _OTHER_SPACE.search(text))
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it prints, else the next from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class _Kept(dict):
+    """Values by key, made when first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key) <= KEPT_LENGTH:
+            self[key] = value
+        return value
+
+    def bound(self, most: int) -> None:
+        if len(self) > most:
+            early = list(islice(self.items(), most // 2))
+            self.clear()
+            self.update(early)
 
 
 class TextEncoder:
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.cache: dict[str, bytes] = {}
-        self.cache_words = cache_words
-        self.starts_word = np.zeros(self.vocab_size, bool)
-        for token, k in self.tokenizer.get_vocab().items():
-            self.starts_word[k] = token.startswith("Ġ")
+        self.space = byte_letters()[32]
+        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+        self.pieces, self.chunks = _Kept(self._piece), _Kept(self._chunk)
+        self.cache_chunks = cache_chunks
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _piece(self, piece: str) -> bytes:
+        written = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", map(_ID, self.model.tokenize(written))).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk, given without the space before it."""
+        if chunk.isalpha():
+            written = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.letters)
+            return array("I", map(_ID, self.model.tokenize(self.space + written))).tobytes()
+        if chunk[-1] in ",.;:!?" and chunk[:-1].isalpha():  # a word and a mark are two pieces
+            return self.chunks[chunk[:-1]] + self.pieces[chunk[-1]]
+        return b"".join(map(self.pieces.__getitem__, self.split(" " + chunk)))
 
-    def _learn(self, words: set[str]) -> None:
-        """Words of a space and letters are encoded as one text: a token with a leading space begins the next word."""
-        spaced = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        other = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
-        for i in range(0, len(spaced), 2000):
-            part = spaced[i : i + 2000]
-            raw = self._ids(["".join(part)])[0]
-            at = np.flatnonzero(self.starts_word[np.frombuffer(raw, "<u4")]) * 4
-            if len(at) != len(part) or (len(at) and at[0]):
-                raise ValueError("the tokenizer did not split words at their leading spaces")
-            ends = [*at[1:].tolist(), len(raw)]
-            self.cache.update(zip(part, [raw[a:b] for a, b in zip(at.tolist(), ends)]))
-        for i in range(0, len(other), 500):
-            part = other[i : i + 500]
-            self.cache.update(zip(part, self._ids(part)))
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        out: list[bytes | None] = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if _UNUSUAL.search(t) is None]
-        rest = sorted(set(range(len(texts))) - set(plain))
-        for i, raw in zip(rest, self._ids([texts[i] for i in rest]) if rest else ()):
+        out, rest = [], []
+        for i, text in enumerate(texts):
+            if (_CONTROL if text.isascii() else _UNUSUAL).search(text):
+                rest.append(i)
+                out.append(b"")
+                continue
+            self.pieces.bound(self.cache_chunks // 2)
+            self.chunks.bound(self.cache_chunks)
+            if evenly_spaced(text):
+                head, *tail = text.split(" ")
+                first = b"".join(map(self.pieces.__getitem__, self.split(head)))
+                out.append(first + b"".join(map(self.chunks.__getitem__, tail)))
+            else:
+                out.append(b"".join(map(self.pieces.__getitem__, self.split(text))))
+        for i, raw in zip(rest, self._whole([texts[i] for i in rest]) if rest else ()):
             out[i] = raw
-        at = 0
-        while at < len(plain):  # groups of a bounded number of characters
-            group, chars = [], 0
-            while at < len(plain) and (not group or chars + len(texts[plain[at]]) < 1_000_000):
-                group.append(plain[at])
-                chars += len(texts[plain[at]])
-                at += 1
-            if len(self.cache) > self.cache_words:
-                self.cache = dict(islice(self.cache.items(), self.cache_words // 2))
-            words = [self.split(texts[i]) for i in group]
-            missing = set().union(*words).difference(self.cache)
-            if missing:
-                self._learn(missing)
-            get = self.cache.__getitem__
-            for i, w in zip(group, words):
-                out[i] = b"".join(map(get, w))
         return out
 
 
