@@ -6,8 +6,9 @@ in ascending order, each over all its positions at once, and a merge touches its
 only. Words already known to the worker (a bounded cache) are not replayed again.
 
 A word that is itself in the vocabulary is one id, as in the tiktoken library. Within a word the
-order of merges is the library's: lowest rank first, leftmost first; should a merge bring up a pair of lower
-rank in its word, that word's other positions of the present rank wait for it.
+order of merges is the library's: lowest rank first, leftmost first. So a rank is applied at the first of its
+places in each word, and at a word's next place when it comes up again: a pair of lower rank that the
+merge brought up goes before.
 
 Nulls: a null text is empty (no ids); a null doc_id is kept. Repeated rows are returned as
 often as they come. An empty table gives an empty result. Extra columns are ignored.
@@ -30,8 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .encoder import evenly_spaced
 
-CACHE_WORDS = 250_000
+#: Pieces and chunks that a worker keeps; words replayed at once; characters of texts taken at once.
+CACHE_WORDS, REPLAY_WORDS, BLOCK_CHARS = 300_000, 400_000, 16 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,109 +46,135 @@ class MergeReplay:
     def __init__(self, path: str, pattern: str, cache_words: int = CACHE_WORDS):
         self.ranks = read_ranks(path)
         self.tokens: dict[int, bytes] = {k: t for t, k in self.ranks.items()}
-        self.of_byte = [self.ranks[bytes([b])] for b in range(256)]
+        self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)])
+        pairs = {}
+        for token, rank in self.ranks.items():
+            for k in range(1, len(token)):
+                if (a := self.ranks.get(token[:k])) is not None and (b := self.ranks.get(token[k:])) is not None:
+                    pairs[a << 32 | b] = rank
+        self.pair_keys = np.array(sorted(pairs), np.int64)
+        self.pair_ranks = np.array([pairs[k] for k in sorted(pairs)], np.int64)
         self.split = regex.compile(pattern).findall
-        self.pairs: dict[tuple[int, int], int | None] = {}
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.cache: dict[str, tuple[bytes, str]] = {}  # of pieces
+        self.chunks: dict[str, tuple[bytes, str]] = {}  # of what stands between two spaces, with the first of them
         self.cache_words = cache_words
 
-    def _rank(self, a: int, b: int) -> int | None:
-        try:
-            return self.pairs[a, b]
-        except KeyError:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.ranks.get(self.tokens[a] + self.tokens[b])
-            return found
+    def _ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair of tokens, -1 where they don't merge (or are no tokens)."""
+        keys = (a << 32) | b
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == keys) & (a >= 0) & (b >= 0), self.pair_ranks[at], -1)
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word."""
-        out: list[list[int]] = [[]] * len(words)
-        symbols: list[int] = []
-        word_of: list[int] = []
-        first: list[tuple[int, int]] = []
-        for k, word in enumerate(words):
-            if (whole := self.ranks.get(word)) is not None:
-                out[k] = [whole]
-                continue
-            first.append((k, len(symbols)))
-            symbols += [self.of_byte[b] for b in word]
-            symbols.append(-1)  # ends the word
-            word_of += [k] * (len(word) + 1)
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        rank = self._rank
-        for p in range(n - 1):
-            a, b = symbols[p], symbols[p + 1]
-            if a >= 0 and b >= 0 and (r := rank(a, b)) is not None:
-                index.setdefault(r, []).append(p)
-        heap = list(index)
-        heapq.heapify(heap)
+        whole = [self.ranks.get(w) for w in words]
+        rest = [k for k, w in enumerate(whole) if w is None and words[k]]
+        out: list[list[int]] = [[w] if w is not None else [] for w in whole]
+        if not rest:
+            return out
+        data = np.frombuffer(b"".join(words[k] for k in rest), np.uint8)
+        lengths = np.array([len(words[k]) for k in rest])
+        # one symbol for each byte, and an end (-1) before the first word and after every word
+        word = np.repeat(np.arange(len(rest)), lengths + 1)
+        symbol = np.full(len(word) + 1, -1, np.int64)
+        inside = np.ones(len(word), bool)
+        ends = np.cumsum(lengths + 1) - 1
+        inside[ends] = False
+        symbol[1:][inside] = self.of_byte[data]
+        word = np.concatenate([[-1], word])
+        after, before = np.arange(1, len(symbol) + 1), np.arange(-1, len(symbol) - 1)
+        pair = np.append(self._ranks_of(symbol[:-1], symbol[1:]), -1)  # rank of the pair that begins at each place
+        index: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def enter(places: np.ndarray, ranks: np.ndarray) -> None:
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            edges = [0, *cuts.tolist(), len(ranks)]
+            for r, x, y in zip(ranks[edges[:-1]].tolist(), edges, edges[1:]):
+                if r in index:
+                    index[r].append(places[x:y])
+                else:
+                    index[r] = [places[x:y]]
+                    heapq.heappush(heap, r)
+
+        there = np.flatnonzero(pair >= 0)
+        if len(there):
+            enter(there, pair[there])
         while heap:
             r = heapq.heappop(heap)
-            places = index.pop(r, None)
-            if places is None:
+            listed = index.pop(r)
+            p = listed[0] if len(listed) == 1 else np.sort(np.concatenate(listed))
+            p = p[pair[p] == r]
+            if not len(p):
                 continue
-            places.sort()
-            waiting: set[int] = set()
-            for p in places:
-                a = symbols[p]
-                if a < 0:
-                    continue
-                q = after[p]
-                b = symbols[q]
-                if b < 0 or rank(a, b) != r:
-                    continue
-                if waiting and word_of[p] in waiting:
-                    if r not in index:
-                        index[r] = []
-                        heapq.heappush(heap, r)
-                    index[r].append(p)
-                    continue
-                symbols[p], symbols[q] = r, -2
-                nxt = after[q]
-                after[p] = nxt
-                before[nxt] = p
-                touched = []
-                if symbols[nxt] >= 0:
-                    touched.append((p, r, symbols[nxt]))
-                prev = before[p]
-                if prev >= 0 and symbols[prev] >= 0:
-                    touched.append((prev, symbols[prev], r))
-                for at, x, y in touched:
-                    if (new := rank(x, y)) is not None:
-                        if new not in index:
-                            index[new] = []
-                            heapq.heappush(heap, new)
-                        index[new].append(at)
-                        if new < r:
-                            waiting.add(word_of[p])
-        for k, p in first:
-            ids = []
-            while symbols[p] != -1:
-                ids.append(symbols[p])
-                p = after[p]
-            out[k] = ids
+            if len(p) > 1:
+                own = word[p]
+                first = np.concatenate([[True], own[1:] != own[:-1]])
+                if not first.all():  # a word's second place waits: a pair of lower rank may come first
+                    index[r] = [p[~first]]
+                    heapq.heappush(heap, r)
+                    p = p[first]
+            q = after[p]
+            n, b = after[q], before[p]
+            symbol[p] = r
+            symbol[q] = -2
+            pair[q] = -1
+            after[p] = n
+            before[n] = p
+            places = np.concatenate([p, b])
+            ranks = self._ranks_of(symbol[places], symbol[np.concatenate([n, p])])
+            pair[places] = ranks
+            new = ranks >= 0
+            if new.any():
+                enter(places[new], ranks[new])
+        kept = symbol >= 0
+        ids, owner = symbol[kept], word[kept]
+        edges = np.searchsorted(owner, np.arange(len(rest) + 1))
+        listed = ids.tolist()
+        for k, x, y in zip(rest, edges.tolist(), edges[1:].tolist()):
+            out[k] = listed[x:y]
         return out
 
     def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
+        for i in range(0, len(words), REPLAY_WORDS):
+            part = words[i : i + REPLAY_WORDS]
             for word, ids in zip(part, self.replay([w.encode("utf-8") for w in part])):
                 self.cache[word] = (np.array(ids, "<u4").tobytes(), ",".join(map(str, ids)))
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str]]:
-        """Each text's ids, and the same in decimal joined by commas."""
-        if len(self.cache) > self.cache_words:
-            self.cache = dict(islice(self.cache.items(), self.cache_words // 2))
-        words = [self.split(t) for t in texts]
+    def _known(self, words: list[list[str]]) -> list[tuple[bytes, str]]:
+        """Ids of lists of pieces, bytes and decimal."""
         missing = set().union(*words).difference(self.cache)
         self._learn(list(missing))
-        get = self.cache.__getitem__
+        out = []
         for w in words:
-            known = list(map(get, w))
-            yield np.frombuffer(b"".join([k[0] for k in known]), "<u4"), ",".join([k[1] for k in known])
+            known = [self.cache[x] for x in w]
+            out.append((b"".join([k[0] for k in known]), ",".join([k[1] for k in known])))
+        return out
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str]]:
+        """Each text's ids, and the same in decimal joined by commas.
+
+        Where single spaces stand between other characters, no piece crosses from before a space to it, so the
+        chunks between spaces are looked up; other texts go by their pieces.
+        """
+        for kept in (self.cache, self.chunks):
+            if len(kept) > self.cache_words:
+                early = list(islice(kept.items(), self.cache_words // 2))
+                kept.clear()
+                kept.update(early)
+        even = [evenly_spaced(t) for t in texts]
+        cut = [t.split(" ") if e else [] for t, e in zip(texts, even)]
+        missing = list(set().union(*[c[1:] for c in cut]).difference(self.chunks))
+        heads = [self.split(c[0] if e else t) for t, c, e in zip(texts, cut, even)]
+        found = self._known([*heads, *[self.split(" " + c) for c in missing]])
+        self.chunks.update(zip(missing, found[len(texts) :]))
+        get = self.chunks.__getitem__
+        for (raw, decimal), chunks in zip(found, cut):
+            known = list(map(get, chunks[1:]))
+            said = [k[1] for k in known]
+            yield np.frombuffer(raw + b"".join([k[0] for k in known]), "<u4"), ",".join([decimal, *said] if decimal else said)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -157,16 +186,23 @@ def replayer(path: str, pattern: str) -> MergeReplay:
     return MergeReplay(path, pattern)
 
 
+def _in_parts(rows: Iterator, size: int) -> Iterator[tuple[int, list]]:
+    """(place of the first, up to `size` rows), lazily."""
+    at = 0
+    while part := list(islice(rows, size)):
+        yield at, part
+        at += len(part)
+
+
 def encode_decode(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.PATTERN, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids the ids and the decoded text themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = replayer(ranks, pattern)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                part = batch.slice(i, 128)
+        def answer(doc_ids: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
+            for i, rows in _in_parts(code.encode(texts), 512):
                 n, said, back, ids_out, text_out = [], [], [], [], []
-                for ids, decimal in code.encode(part.column(1).to_pylist()):
+                for ids, decimal in rows:
                     listed = ids.tolist()
                     decoded = code.decode(listed)
                     n.append(len(listed))
@@ -175,11 +211,22 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.
                     if keep_ids:
                         ids_out.append(listed)
                         text_out.append(decoded.decode("utf-8", "replace"))
-                columns = {"doc_id": part.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(said, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
+                columns = {"doc_id": pa.array(doc_ids[i : i + len(n)], pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(said, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
                 if keep_ids:
                     columns |= {"ids": pa.array(ids_out, pa.list_(pa.int32())), "decoded": pa.array(text_out, pa.string())}
                 yield pa.RecordBatch.from_pydict(columns)
 
+        doc_ids, texts, chars = [], [], 0
+        for batch in batches:
+            doc_ids += batch.column(0).to_pylist()
+            texts += batch.column(1).to_pylist()
+            chars += sum(map(len, texts[len(texts) - batch.num_rows :]))
+            if chars >= BLOCK_CHARS:
+                yield from answer(doc_ids, texts)
+                doc_ids, texts, chars = [], [], 0
+        if texts:
+            yield from answer(doc_ids, texts)
+
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), common.whole_text(text_col).alias("text"))
     return common.map_arrow(own, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids)
 
