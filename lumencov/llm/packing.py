@@ -124,36 +124,35 @@ def phases(totals: list[int], targets: list[float] | None = None) -> list[Phase]
     return out
 
 
-def cut(plan: list[Phase], queue: int, start: int, length: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces of ids start to start + length of a queue: (place in the queue, length, sequence, offset)."""
-    at, sequence, offset = [], [], []
+def cut(plan: list[Phase], queue: np.ndarray, start: np.ndarray, length: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """Pieces of many documents at once, each the ids start to start + length of a queue.
+
+    Arrays, by document and then by place: document, place in the queue, length, sequence, offset.
+    """
+    out = []
     for phase, following in zip(plan, [*plan[1:], None]):
-        a = max(start, int(phase.taken[queue]))
-        b = min(start + length, int(following.taken[queue]) if following else start + length)
-        if a >= b:
+        taken = phase.taken[queue]
+        first = np.maximum(start, taken) - taken
+        last = (np.minimum(start + length, following.taken[queue]) if following else start + length) - taken
+        doc = np.flatnonzero(first < last)
+        if not len(doc):
             continue
-        q = np.array([queue])
-        ends = phase.tree.place(q, np.array([a - phase.taken[queue]])), phase.tree.place(q, np.array([b - 1 - phase.taken[queue]]))
-        w = np.arange((int(ends[0][0]) + phase.begins) // window, (int(ends[1][0]) + phase.begins) // window + 1)
-        x = np.maximum(w * window - phase.begins, 0)
-        mine, _ = phase.tree.served(np.full(len(w), queue), x)
-        begin = np.maximum(mine, a - phase.taken[queue])
-        # in a window, queues stand one after the other; a window that two phases share has the first phase's ids before
-        ahead = _ahead(phase.tree, queue, w, x, window, phase.begins)
-        at.append(begin + phase.taken[queue])
-        sequence.append(w)
-        offset.append(x + phase.begins - w * window + ahead + begin - mine)
-    at, sequence, offset = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (at, sequence, offset))
-    lengths = np.diff(at, append=start + length)
-    some = lengths > 0
-    return at[some], lengths[some], sequence[some], offset[some]
-
-
-def _ahead(tree: Tree, queue: int, w: np.ndarray, x: np.ndarray, window: int, begins: int) -> np.ndarray:
-    """Ids that queues before this one have in each window."""
-    q = np.full(len(w), queue)
-    until = np.minimum((w + 1) * window - begins, tree.total)
-    return tree.served(q, until)[1] - tree.served(q, x)[1]
+        q, first, last = queue[doc], first[doc], last[doc]
+        w_first = (phase.tree.place(q, first) + phase.begins) // window
+        n = (phase.tree.place(q, last - 1) + phase.begins) // window - w_first + 1
+        at = np.repeat(np.arange(len(doc)), n)
+        w = w_first[at] + np.arange(len(at)) - (np.cumsum(n) - n)[at]
+        x, until = np.maximum(w * window - phase.begins, 0), np.minimum((w + 1) * window - phase.begins, phase.tree.total)
+        mine, ahead = phase.tree.served(q[at], x)
+        mine_then, ahead_then = phase.tree.served(q[at], until)
+        begin, end = np.maximum(mine, first[at]), np.minimum(mine_then, last[at])
+        # in a window, queues stand one after the other; a window that two phases share has the first one's ids before
+        offset = x + phase.begins - w * window + (ahead_then - ahead) + (begin - mine)
+        some = end > begin
+        out.append([v[some] for v in (doc[at], begin + taken[doc][at], end - begin, w, offset)])
+    columns = [np.concatenate(v) for v in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
+    order = np.lexsort((columns[1], columns[0]))
+    return tuple(c[order] for c in columns)
 
 
 def encode_queues(docs: DataFrame, tokenizer: str, end_id: int, most_queues: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -209,21 +208,27 @@ def pack_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                rows = batch.slice(i, 256)
-                out: list[list] = [[] for _ in range(8)]
-                for part, queue, doc_id, start, n, raw in zip(*(rows.column(c).to_pylist() for c in ("part", "queue", "doc_id", "start", "n", "ids"))):
-                    ids = np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4").tobytes()
-                    begins = start + first[part, queue]
-                    for at, length, sequence, offset in zip(*(v.tolist() for v in cut(plan, number[queue], begins, n, window))):
-                        own = ids[4 * (at - begins) : 4 * (at - begins + length)]
-                        for column, value in zip(out, (doc_id, at - begins, length, zlib.crc32(own), n, sequence, offset, own)):
-                            column.append(value)
-                columns = [pa.array(v, pa.int64()) for v in out[:7]]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-                if keep_ids:
-                    columns, names = [*columns, pa.array([np.frombuffer(v, "<u4").tolist() for v in out[7]], pa.list_(pa.int32()))], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+            parts, names, raws = (batch.column(c).to_pylist() for c in ("part", "queue", "ids"))
+            start, n = (batch.column(c).to_numpy() for c in ("start", "n"))
+            begins = start + np.array([first[x] for x in zip(parts, names)], np.int64)
+            doc, place, length, sequence, offset = cut(plan, np.array([number[q] for q in names], np.int64), begins, n, window)
+            at = place - begins[doc]
+            kept: list[list[int]] = []
+            crc = np.zeros(len(doc), np.int64)
+            k = 0
+            for d, raw in enumerate(raws):
+                ids = memoryview(np.frombuffer(raw, f"<u{len(raw) // int(n[d])}").astype("<u4").tobytes())
+                while k < len(doc) and doc[k] == d:
+                    own = ids[4 * int(at[k]) : 4 * int(at[k] + length[k])]
+                    crc[k] = zlib.crc32(own)
+                    if keep_ids:
+                        kept.append(np.frombuffer(own, "<u4").tolist())
+                    k += 1
+            columns = [batch.column("doc_id").take(pa.array(doc)), *map(pa.array, (at, length, crc, n[doc], sequence, offset))]
+            labels = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+            if keep_ids:
+                columns, labels = [*columns, pa.array(kept, pa.list_(pa.int32()))], [*labels, "ids"]
+            yield pa.RecordBatch.from_arrays(columns, labels)
 
     return common.map_arrow(coded, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * keep_ids)
 
