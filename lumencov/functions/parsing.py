@@ -1,4 +1,8 @@
-"""Column expressions that read the values of a report from variants."""
+"""Column expressions that read the values of a report from JSON text.
+
+Slots of an array come as text (`slots`): a number as it stands, null as null, an array as its JSON. Strings are
+marked beforehand (`mark_strings`), so that "1" and 1 stay apart.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _NUMBER = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+_IS_NUMBER = f"^{_NUMBER}$"
 _LARGEST = 4294967295.0
+MARK = "s:"
+
+
+def mark_strings(json: Column) -> Column:
+    """Every string of a JSON text with MARK before its content."""
+    return F.when(json.contains('"'), F.regexp_replace(json, r'"((?:[^"\\]|\\.)*+)"', f'"{MARK}$1"')).otherwise(json)
+
+
+def slots(json: Column) -> Column:
+    """An array's slots as text; null for anything else."""
+    return F.from_json(json, "array<string>")
+
+
+def string_of(slot: Column) -> Column:
+    """The content of a slot that is a string; null for anything else."""
+    return F.when(slot.startswith(MARK), F.substring(slot, F.lit(len(MARK) + 1), F.length(slot)))
 
 
 def clamp_u32(x: Column) -> Column:
@@ -14,29 +35,27 @@ def clamp_u32(x: Column) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x.cast("double"), F.lit(0.0)), F.lit(_LARGEST)).cast("long"))
 
 
-def kind_of(v: Column) -> Column:
-    """hits, branches or partial, by the JSON type of a coverage value; null for anything else."""
-    schema, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
-    return (
-        F.when(schema.rlike("^(BIGINT|DECIMAL|DOUBLE)"), "hits")
-        .when((schema == "STRING") & text.rlike(f"^{_NUMBER}/{_NUMBER}$"), "branches")
-        .when((schema == "BOOLEAN") & F.try_variant_get(v, "$", "boolean"), "partial")
-    )
+def number(slot: Column) -> Column:
+    """The clamped value of a slot that is a number; null for anything else."""
+    return F.when(slot.rlike(_IS_NUMBER), clamp_u32(slot.try_cast("double")))
+
 
+def kind_of(slot: Column) -> Column:
+    """hits, branches or partial, by the form of a coverage value; null for anything else."""
+    return F.when(slot.rlike(_IS_NUMBER), "hits").when(slot.rlike(f"^{MARK}{_NUMBER}/{_NUMBER}$"), "branches").when(slot == "true", "partial")
 
-def coverage(v: Column) -> Column:
+
+def coverage(slot: Column) -> Column:
     """struct(kind, a, b) of a coverage value: hits a, or a of b branches."""
-    kind, text = kind_of(v), F.try_variant_get(v, "$", "string")
-    number = clamp_u32(F.when(kind == "hits", F.try_variant_get(v, "$", "double")).when(kind == "branches", F.substring_index(text, "/", 1).try_cast("double")))
-    total = clamp_u32(F.when(kind == "branches", F.substring_index(text, "/", -1).try_cast("double")))
-    return F.struct(kind.alias("kind"), number.alias("a"), total.alias("b"))
+    kind = kind_of(slot)
+    of = lambda part: clamp_u32(part.try_cast("double"))
+    first = F.when(kind == "hits", of(slot)).when(kind == "branches", of(F.substring_index(string_of(slot), "/", 1)))
+    return F.struct(kind.alias("kind"), first.alias("a"), F.when(kind == "branches", of(F.substring_index(slot, "/", -1))).alias("b"))
 
 
-def coverage_type(v: Column) -> Column:
-    """l, b or m; null for a type that isn't known. `v` is null or a variant null for a line."""
-    text = F.try_variant_get(v, "$", "string")
-    known = F.when(text == "line", "l").when(text.isin("b", "branch"), "b").when(text.isin("m", "method"), "m")
-    return F.when(v.isNull() | F.is_variant_null(v), "l").when(F.schema_of_variant(v) == "STRING", known)
+def coverage_type(slot: Column) -> Column:
+    """l, b or m; null for a type that isn't known. No type is a line."""
+    return F.when(slot.isNull() | (slot == "s:line"), "l").when(slot.isin("s:b", "s:branch"), "b").when(slot.isin("s:m", "s:method"), "m")
 
 
 def normalized_type(kind: Column, type_: Column) -> Column:
@@ -61,45 +80,38 @@ def normalized(cov: Column, type_: Column) -> Column:
     )
 
 
-def _is_array(v: Column) -> Column:
-    return F.schema_of_variant(v).startswith("ARRAY")
-
-
-def absent(v: Column) -> Column:
-    return v.isNull() | F.is_variant_null(v)
-
+def complexity(slot: Column) -> Column:
+    """struct(paths, total, valid): a total alone, or [paths, total]; nothing is valid too."""
+    pair = F.when(slot.startswith("["), slots(slot))
+    a, b = number(F.get(pair, 0)), number(F.get(pair, 1))
+    both = (F.size(pair) == 2) & a.isNotNull() & b.isNotNull()
+    single = slot.rlike(_IS_NUMBER)
+    found = F.when(single, F.struct(F.lit(None).cast("long").alias("paths"), number(slot).alias("total"), F.lit(True).alias("valid"))).when(both, F.struct(a.alias("paths"), b.alias("total"), F.lit(True).alias("valid")))
+    nothing = lambda ok: F.struct(F.lit(None).cast("long").alias("paths"), F.lit(None).cast("long").alias("total"), F.lit(ok).alias("valid"))
+    return F.when(slot.isNull(), nothing(True)).otherwise(F.coalesce(found, nothing(False)))
 
-def complexity(v: Column) -> Column:
-    """struct(paths, total, valid): a total alone, or [paths, total]."""
-    single = F.schema_of_variant(v).rlike("^(BIGINT|DECIMAL|DOUBLE)")
-    pair = F.try_variant_get(v, "$", "array<double>")
-    is_pair = _is_array(v) & (F.size(pair) == 2) & F.get(pair, 0).isNotNull() & F.get(pair, 1).isNotNull()
-    return F.struct(
-        F.when(is_pair, clamp_u32(F.get(pair, 0))).alias("paths"), F.when(is_pair, clamp_u32(F.get(pair, 1))).when(single, clamp_u32(F.try_variant_get(v, "$", "double"))).alias("total"), (absent(v) | F.coalesce(single | is_pair, F.lit(False))).alias("valid")
-    )
 
-
-def missing_branches(v: Column) -> Column:
+def missing_branches(slot: Column) -> Column:
     """struct(branch_format, branches, valid): lines, else block:branch pairs, else conditions; a list is all of one format."""
-    items = F.try_variant_get(v, "$", "array<variant>")
-    texts = F.transform(items, lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
+    texts = F.transform(F.when(slot.startswith("["), slots(slot)), string_of)
     every = lambda pattern: F.forall(texts, lambda t: F.coalesce(t.rlike(pattern), F.lit(False)))
-    format_ = F.when(F.size(texts) == 0, "c").when(every(f"^{_NUMBER}$"), "l").when(every(f"^{_NUMBER}:{_NUMBER}$"), "bb").when(every(f"^{_NUMBER}(:jump)?$"), "c")
+    format_ = F.when(F.size(texts) == 0, "c").when(every(_IS_NUMBER), "l").when(every(f"^{_NUMBER}:{_NUMBER}$"), "bb").when(every(f"^{_NUMBER}(:jump)?$"), "c")
     part = lambda t: clamp_u32(t.try_cast("double")).cast("string")
-    clean = F.transform(texts, lambda t: F.when(t.contains(":jump"), F.concat(part(F.substring_index(t, ":", 1)), F.lit(":jump"))).when(t.contains(":"), F.concat(part(F.substring_index(t, ":", 1)), F.lit(":"), part(F.substring_index(t, ":", -1)))).otherwise(part(t)))
-    return F.struct(format_.alias("branch_format"), F.when(format_.isNotNull(), clean).alias("branches"), (absent(v) | (F.coalesce(_is_array(v), F.lit(False)) & format_.isNotNull())).alias("valid"))
+    clean = F.transform(texts, lambda t: F.when(t.rlike("^[0-9]{1,9}$") & ~t.rlike("^0[0-9]"), t).when(t.contains(":jump"), F.concat(part(F.substring_index(t, ":", 1)), F.lit(":jump"))).when(t.contains(":"), F.concat(part(F.substring_index(t, ":", 1)), F.lit(":"), part(F.substring_index(t, ":", -1)))).otherwise(part(t)))
+    found = F.struct(format_.alias("branch_format"), F.when(format_.isNotNull(), clean).alias("branches"), format_.isNotNull().alias("valid"))
+    nothing = F.struct(F.lit(None).cast("string").alias("branch_format"), F.lit(None).cast("array<string>").alias("branches"), F.lit(True).alias("valid"))
+    return F.when(slot.isNull(), nothing).otherwise(found)
 
 
-def partial_spans(v: Column) -> Column:
+def partial_spans(slot: Column) -> Column:
     """struct(spans, valid): [start, end, coverage] each; hits are 0 unless the coverage is a hit count."""
-    items = F.try_variant_get(v, "$", "array<variant>")
-    number = lambda x: F.when(F.schema_of_variant(x).rlike("^(BIGINT|DECIMAL|DOUBLE)"), clamp_u32(F.try_variant_get(x, "$", "double")))
 
     def span(x: Column) -> Column:
-        slots = F.try_variant_get(x, "$", "array<variant>")
-        a, b, c = F.get(slots, 0), F.get(slots, 1), F.get(slots, 2)
-        good = (F.size(slots) == 3) & (absent(a) | number(a).isNotNull()) & (absent(b) | number(b).isNotNull()) & kind_of(c).isNotNull()
-        return F.struct(number(a).alias("start_col"), number(b).alias("end_col"), F.when(kind_of(c) == "hits", number(c)).otherwise(F.lit(0).cast("long")).alias("hits"), F.coalesce(good, F.lit(False)).alias("valid"))
-
-    spans = F.transform(items, span)
-    return F.struct(spans.alias("spans"), (absent(v) | (F.coalesce(_is_array(v), F.lit(False)) & F.forall(spans, lambda s: s["valid"]))).alias("valid"))
+        a, b, c = F.get(x, 0), F.get(x, 1), F.get(x, 2)
+        good = (F.size(x) == 3) & (a.isNull() | number(a).isNotNull()) & (b.isNull() | number(b).isNotNull()) & kind_of(c).isNotNull()
+        return F.struct(number(a).alias("start_col"), number(b).alias("end_col"), F.coalesce(number(c), F.lit(0).cast("long")).alias("hits"), F.coalesce(good, F.lit(False)).alias("valid"))
+
+    spans = F.transform(F.transform(F.when(slot.startswith("["), slots(slot)), slots), span)
+    found = F.struct(spans.alias("spans"), F.coalesce(F.forall(spans, lambda s: s["valid"]), F.lit(False)).alias("valid"))
+    nothing = F.struct(F.lit(None).cast("array<struct<start_col: long, end_col: long, hits: long, valid: boolean>>").alias("spans"), F.lit(True).alias("valid"))
+    return F.when(slot.isNull(), nothing).otherwise(found)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import formats, parsing
 from ..operators import files, labels, lines, lists, sessions, status, totals
 from ..sources import report_reader, report_writer, star_schema
-from . import schema
+from . import numbering, schema
+from .staging import shared_dir
 from .store import CoverageStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,16 +84,59 @@ def _parse_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_reader.parse_report_sessions(_json_text(spark, sf_dir)).select("session_index", "timestamp", "flags", "name", "job_name", "session_type", "session_extras")
 
 
-def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written as a report, read again, and summed."""
-    own = star_schema.load(spark, sf_dir)
-    document = report_writer.chunks_document(own).select(F.lit("r").alias("report"), "value")
-    again = report_reader.parse_reports(_json_text(spark, sf_dir), document).store
+def _document_text(own: CoverageStore) -> DataFrame:
+    return report_writer.chunks_document(own).select(F.lit("r").alias("report"), "value")
+
+
+def _read_again(spark: SparkSession, sf_dir: str) -> CoverageStore:
+    """The store written as a report and read again."""
+    return report_reader.parse_reports(_json_text(spark, sf_dir), _document_text(star_schema.load(spark, sf_dir)), staging=shared_dir(spark)).store
+
+
+def _parse_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the store that was read again."""
+    again = _read_again(spark, sf_dir)
     keep = ["hit_lines", "total_lines", "hit_branches", "total_branches", "hit_methods", "total_methods"]
     complexity = again.method_data.agg(status.total("hit_complexity_paths").alias("hit_complexity_paths"), status.total("total_complexity").alias("total_complexity"))
     return totals.totals(again).select(F.col("file_count").alias("files"), *keep).crossJoin(complexity)
 
 
+def _explode_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each fact table that was read again."""
+    again = _read_again(spark, sf_dir)
+    counts = [getattr(again, t).agg(F.lit(t).alias("table"), F.count(F.lit(1)).alias("n")) for t in schema.FACTS]
+    out = counts[0]
+    for df in counts[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def _parse_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report_reader.parse_chunks(_document_text(star_schema.load(spark, sf_dir))).select("chunk_index", "chunk")
+
+
+def _to_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = star_schema.load(spark, sf_dir)
+    return report_writer.report_json(own).crossJoin(report_writer.chunks_document(own).select(F.col("value").alias("chunks")))
+
+
+def _assign_local_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples numbered within their upload in buckets of the first sort key."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
+    rows = numbering.dense_numbers(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_suppkey", F.expr("l_orderkey div 1024"), order, "local_sample_id")
+    return rows.select(F.col("l_suppkey").cast("long").alias("raw_upload_id"), "local_sample_id", F.col("l_partkey").cast("long").alias("source_file_id"), F.col("l_quantity").cast("long").alias("line_no"))
+
+
+def _parse_value(text: Callable[[CoverageStore], DataFrame], parse: Callable) -> Query:
+    """A value written as JSON and read again: the sample's key and the parsed fields."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = text(star_schema.load(spark, sf_dir)).select(*lists.SAMPLE_KEY, parse(F.get(parsing.slots(parsing.mark_strings(F.concat(F.lit("["), F.col("value"), F.lit("]")))), 0)).alias("x"))
+        return rows.select(*lists.SAMPLE_KEY, "x.*") if rows.schema["x"].dataType.typeName() == "struct" else rows.withColumnRenamed("x", "coverage_type")
+
+    return query
+
+
 def _normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every kind of coverage value against every type."""
     samples = star_schema.load(spark, sf_dir).coverage_sample
@@ -122,6 +166,10 @@ def queries() -> dict[str, Query]:
         "parse_line_sessions": _parse_line_sessions, "parse_missing_branches": _parse_missing, "parse_partials": _parse_partials, "parse_labels": _parse_labels,
         "parse_labels_index": lambda spark, d: report_reader.parse_labels_index(_header_text(spark, d)).select("label", "name"),
         "parse_report_json": lambda spark, d: report_reader.parse_report_files(_json_text(spark, d)).select("chunk_index", "path"), "parse_sessions": _parse_sessions,
-        "round_trip_totals": _round_trip,
+        "parse_report": _parse_report, "explode_models": _explode_models, "parse_chunks": _parse_chunks, "to_report": _to_report, "assign_local_ids": _assign_local_ids,
+        "parse_report_lines": lambda spark, d: report_reader.parse_report_lines(_chunk_texts(spark, d)).select("chunk_index", "line_no", "raw"),
+        "parse_coverage": _parse_value(lambda s: s.coverage_sample.withColumn("value", formats.format_coverage(F.col("hits"), F.col("hit_branches"), F.col("total_branches"))), parsing.coverage),
+        "parse_coverage_type": _parse_value(lambda s: s.coverage_sample.withColumn("value", formats.format_type(F.col("coverage_type"))), parsing.coverage_type),
+        "parse_complexity": _parse_value(lambda s: s.method_data.withColumn("value", formats.format_complexity(F.col("hit_complexity_paths"), F.col("total_complexity"))), parsing.complexity),
     }
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..sources.formats import CHUNK_END, HEADER_END
 from ..sources.star_schema import SQL as STORE
 
 _STATUS = """
@@ -113,6 +114,12 @@ TOTALS = """SELECT (SELECT count(*) FROM source_file) AS file_count, (SELECT cou
 FROM coverage_sample s LEFT JOIN method_data m USING (raw_upload_id, local_sample_id)"""
 
 
+_HEADER = """SELECT '{"labels_index":{' || string_agg('"' || i || '":"' || name || '"', ',' ORDER BY i) || '}}' FROM (SELECT row_number() OVER (ORDER BY id) AS i, name FROM context)"""
+
+_REPORT_JSON = """SELECT '{"files":{' || coalesce((SELECT string_agg(to_json(path) || ':' || entry, ',' ORDER BY path) FROM report_json_files), '') || '},"sessions":{'
+  || coalesce((SELECT string_agg('"' || session_index || '":' || entry, ',' ORDER BY CAST(session_index AS BIGINT)) FROM report_json_sessions), '') || '}}'"""
+
+
 def oracle_sql() -> dict[str, str]:
     s, l, d = _STATUS, _LINES, _DOCUMENTS  # noqa: E741
     out = {f"scan_{t}": _over(f"SELECT * FROM {t}") for t in ("source_file", "raw_upload", "context", "context_assoc", "coverage_sample", "branches_data", "method_data", "span_data")}
@@ -141,7 +148,7 @@ def oracle_sql() -> dict[str, str]:
         "line_partials": _over("SELECT * FROM line_partials", s, l),
         "line_labels": _over("SELECT * FROM line_labels", s, l),
         "label_index": _over("SELECT row_number() OVER (ORDER BY id) AS label_index, id, name FROM context"),
-        "labels_index": _over("""SELECT '{"labels_index":{' || string_agg('"' || i || '":"' || name || '"', ',' ORDER BY i) || '}}' AS header FROM (SELECT row_number() OVER (ORDER BY id) AS i, name FROM context)"""),
+        "labels_index": _over(f"SELECT ({_HEADER}) AS header"),
         "merge_dims": _over("SELECT * FROM raw_upload"),
         "merge_facts": _over("SELECT * FROM coverage_sample"),
         "format_coverage": _over("SELECT raw_upload_id, local_sample_id, coalesce(CAST(hits AS VARCHAR), '\"' || hit_branches || '/' || total_branches || '\"') AS coverage, CASE coverage_type WHEN 'l' THEN 'null' ELSE '\"' || coverage_type || '\"' END AS type FROM coverage_sample"),
@@ -155,8 +162,7 @@ def oracle_sql() -> dict[str, str]:
           FROM (SELECT raw_upload_id, local_sample_id, coverage_type AS t, CASE local_sample_id % 3 WHEN 0 THEN 'hits' WHEN 1 THEN 'branches' ELSE 'partial' END AS kind, local_sample_id % 3 AS m, CASE WHEN coverage_type = 'b' AND local_sample_id % 3 = 0 THEN line_no % 3 ELSE line_no END AS x FROM coverage_sample)"""),
         "report_json_files": _over("SELECT * FROM report_json_files", s, l, d),
         "report_json_sessions": _over("SELECT * FROM report_json_sessions", s, l, d),
-        "report_json": _over("""SELECT '{"files":{' || coalesce((SELECT string_agg(to_json(path) || ':' || entry, ',' ORDER BY path) FROM report_json_files), '') || '},"sessions":{'
-            || coalesce((SELECT string_agg('"' || session_index || '":' || entry, ',' ORDER BY CAST(session_index AS BIGINT)) FROM report_json_sessions), '') || '}}' AS report_json""", s, l, d),
+        "report_json": _over(f"SELECT ({_REPORT_JSON}) AS report_json", s, l, d),
         "report_lines": _over("SELECT chunk_index, line_no, line FROM line_text", s, l, d),
         "chunks_text": _over("SELECT * FROM chunks_text", s, l, d),
         # what the parser finds in the text that the writer made is what the text was made from
@@ -167,8 +173,18 @@ def oracle_sql() -> dict[str, str]:
         "parse_labels_index": _over("SELECT CAST(row_number() OVER (ORDER BY id) AS VARCHAR) AS label, name FROM context"),
         "parse_report_json": _over("SELECT chunk_index, path FROM file_totals", s),
         "parse_sessions": _over('SELECT CAST(session_index AS BIGINT) AS session_index, "timestamp", flags, name, job_name, session_type, session_extras FROM session_totals JOIN raw_upload USING (id)', s),
-        "round_trip_totals": _over("""SELECT (SELECT count(*) FROM source_file) AS files, count(*) FILTER (coverage_type = 'l' AND hits > 0) AS hit_lines, count(*) FILTER (coverage_type = 'l') AS total_lines,
+        "parse_report": _over("""SELECT (SELECT count(*) FROM source_file) AS files, count(*) FILTER (coverage_type = 'l' AND hits > 0) AS hit_lines, count(*) FILTER (coverage_type = 'l') AS total_lines,
             CAST(sum(hit_branches) FILTER (coverage_type = 'b') AS BIGINT) AS hit_branches, CAST(sum(total_branches) FILTER (coverage_type = 'b') AS BIGINT) AS total_branches, count(*) FILTER (coverage_type = 'm' AND hits > 0) AS hit_methods,
             count(*) FILTER (coverage_type = 'm') AS total_methods, CAST(sum(hit_complexity_paths) AS BIGINT) AS hit_complexity_paths, CAST(sum(total_complexity) AS BIGINT) AS total_complexity FROM reparsed""", s, l, _REPARSED),
+        "explode_models": _over("""SELECT 'coverage_sample' AS "table", count(*) AS n FROM reparsed UNION ALL SELECT 'branches_data', count(*) FROM (SELECT unnest(from_json(missing_branches, '["VARCHAR"]')) FROM reparsed)
+            UNION ALL SELECT 'method_data', count(*) FILTER (total_complexity IS NOT NULL) FROM reparsed UNION ALL SELECT 'span_data', count(*) FROM (SELECT unnest(from_json(partials, '[["BIGINT"]]')) FROM reparsed)
+            UNION ALL SELECT 'context_assoc', count(*) FROM (SELECT unnest(from_json(labels, '["VARCHAR"]')) FROM reparsed)""", s, l, _REPARSED),
+        "parse_chunks": _over("SELECT * FROM chunks_text", s, l, d),
+        "to_report": _over(f"SELECT ({_REPORT_JSON}) AS report_json, ({_HEADER}) || '{HEADER_END}' || (SELECT string_agg(chunk, '{CHUNK_END}' ORDER BY chunk_index) FROM chunks_text) AS chunks", s, l, d),
+        "assign_local_ids": _over("SELECT raw_upload_id, local_sample_id, source_file_id, line_no FROM coverage_sample"),
+        "parse_report_lines": _over("SELECT chunk_index, line_no, line AS raw FROM line_text", s, l, d),
+        "parse_coverage": _over("SELECT raw_upload_id, local_sample_id, CASE WHEN hits IS NOT NULL THEN 'hits' ELSE 'branches' END AS kind, coalesce(hits, hit_branches) AS a, CASE WHEN hits IS NULL THEN total_branches END AS b FROM coverage_sample"),
+        "parse_coverage_type": _over("SELECT raw_upload_id, local_sample_id, coverage_type FROM coverage_sample"),
+        "parse_complexity": _over("SELECT raw_upload_id, local_sample_id, hit_complexity_paths AS paths, total_complexity AS total, TRUE AS valid FROM method_data"),
     }
     return out

@@ -52,7 +52,7 @@ def parse_report_sessions(texts: DataFrame) -> DataFrame:
         if column == "timestamp":
             out.append(F.try_variant_get("s", f"$.{key}", "long").alias(column))
         elif column in ("flags", "session_extras"):
-            out.append(F.when(~P.absent(value), F.to_json(value)).alias(column))
+            out.append(F.when(~F.coalesce(F.is_variant_null(value), F.lit(True)), F.to_json(value)).alias(column))
         else:
             out.append(F.try_variant_get("s", f"$.{key}", "string").alias(column))
     return rows.select("report", *out)
@@ -85,7 +85,7 @@ def parse_chunks(texts: DataFrame, partitions: int | None = None) -> DataFrame:
 
 def parse_report_lines(chunks: DataFrame) -> DataFrame:
     """report, chunk_index, line_no and raw text of every line with data; a chunk's first line is its header."""
-    lines = chunks.where(F.trim("chunk") != EMPTY_CHUNK).select("report", "chunk_index", F.posexplode(F.split("chunk", "\n")).alias("line_no", "raw"))
+    lines = chunks.where(~F.col("chunk").rlike(rf"^\s*{EMPTY_CHUNK}\s*$")).select("report", "chunk_index", F.posexplode(F.split("chunk", "\n")).alias("line_no", "raw"))
     return lines.where((F.col("line_no") > 0) & (F.trim("raw") != "")).withColumn("line_no", F.col("line_no").cast("long"))
 
 
@@ -93,29 +93,32 @@ def parse_line_sessions(lines: DataFrame) -> DataFrame:
     """A row for each session of each line, with its coverage normalized, and `error` where it breaks the grammar.
 
     Columns: report, chunk_index, line_no, place, session_index, coverage_type, hits, hit_branches, total_branches,
-    hit_complexity_paths, total_complexity, branches (struct), partials (struct), labels (array of variants), raw, error.
+    hit_complexity_paths, total_complexity, branches (struct), partials (struct), labels (array), raw, error.
+
+    Most lines of a chunk read like others of it, so each distinct text of a chunk is parsed once, with the numbers
+    of its lines beside it. Chunks are whole in their partitions, so that this needs no shuffle.
     """
-    v = F.when(F.col("raw").rlike(r"^\s*\[.*\]\s*$"), F.try_parse_json("raw"))
-    slots = lines.select("*", F.try_variant_get(v, "$", "array<variant>").alias("v"))
-    sessions = F.try_variant_get(F.get("v", 2), "$", "array<variant>")
-    line = slots.select("report", "chunk_index", "line_no", "raw", "v", P.coverage(F.get("v", 0)).alias("cov"), P.coverage_type(F.get("v", 1)).alias("type"), sessions.alias("sessions"), P.complexity(F.get("v", 4))["valid"].alias("complexity_ok"), F.try_variant_get(F.get("v", 5), "$", "array<variant>").alias("points"))
-    fine = F.size("v").between(3, 6) & F.col("cov.kind").isNotNull() & F.col("type").isNotNull() & F.col("sessions").isNotNull() & F.col("complexity_ok")
-    typed = line.select("*", F.coalesce(fine, F.lit(False)).alias("fine"), P.normalized_type(F.col("cov.kind"), F.col("type")).alias("line_type"))
-    rows = typed.select("report", "chunk_index", "line_no", "raw", "fine", "line_type", "points", F.posexplode_outer(F.when(F.col("fine"), F.col("sessions"))).alias("place", "s"))
-    parts = F.try_variant_get("s", "$", "array<variant>")
-    own = rows.select("*", parts.alias("p"))
-    number = F.schema_of_variant(F.get("p", 0)).rlike("^(BIGINT|DECIMAL|DOUBLE)")
-    read = own.select(
-        "report", "chunk_index", "line_no", "place", "raw", "fine", "line_type", "s", "points", F.size("p").between(2, 5).alias("arity"), F.when(number, P.clamp_u32(F.try_variant_get(F.get("p", 0), "$", "double"))).alias("session_index"),
-        P.normalized(P.coverage(F.get("p", 1)), F.col("line_type")).alias("n"), P.missing_branches(F.get("p", 2)).alias("branches"), P.partial_spans(F.get("p", 3)).alias("partials"), P.complexity(F.get("p", 4)).alias("complexity"),
+    lines = lines.groupBy("report", "chunk_index", "raw").agg(F.collect_list("line_no").alias("line_no"))
+    array = F.when(F.col("raw").rlike(r"^\s*\[.*\]\s*$"), P.slots(P.mark_strings(F.col("raw"))))
+    own = lines.select("*", array.alias("v"))
+    line = own.select("report", "chunk_index", "line_no", "raw", F.size("v").alias("n_slots"), P.kind_of(F.get("v", 0)).alias("kind"), P.coverage_type(F.get("v", 1)).alias("type"), P.slots(F.get("v", 2)).alias("sessions"), F.get("v", 4).alias("cx"), F.get("v", 5).alias("points"))
+    fine = F.col("n_slots").between(3, 6) & F.col("kind").isNotNull() & F.col("type").isNotNull() & F.col("sessions").isNotNull() & (F.col("cx").isNull() | P.complexity(F.col("cx"))["valid"])
+    typed = line.select("*", F.coalesce(fine, F.lit(False)).alias("fine"), P.normalized_type(F.col("kind"), F.col("type")).alias("line_type"))
+    rows = typed.select("report", "chunk_index", "line_no", "raw", "fine", "line_type", "points", F.posexplode_outer(F.when(F.col("fine"), F.col("sessions"))).alias("place", "s")).where("s IS NOT NULL OR NOT fine")
+    cut = rows.select("*", P.slots(F.col("s")).alias("p"))
+    read = cut.select(
+        "report", "chunk_index", "line_no", "place", "raw", "fine", "line_type", "s", "points", F.size("p").between(2, 5).alias("arity"), P.number(F.get("p", 0)).alias("session_index"),
+        P.coverage(F.get("p", 1)).alias("cov"), P.missing_branches(F.get("p", 2)).alias("branches"), P.partial_spans(F.get("p", 3)).alias("partials"), P.complexity(F.get("p", 4)).alias("complexity"),
     )
-    mine = F.filter("points", lambda x: F.try_variant_get(x, "$[0]", "long") == F.col("session_index"))
-    labels = F.try_variant_get(F.element_at(mine, -1), "$[3]", "array<variant>")  # of two datapoints of a session the last counts
+    normal = read.select("*", P.normalized(F.col("cov"), F.col("line_type")).alias("n"))
     valid = F.col("arity") & F.col("session_index").isNotNull() & F.col("n.valid") & F.col("branches.valid") & F.col("partials.valid") & F.col("complexity.valid")
-    error = F.when(~F.col("fine"), "malformed line").when(F.col("s").isNotNull() & ~F.coalesce(valid, F.lit(False)), "malformed session")
-    return read.where("s IS NOT NULL OR NOT fine").select(
-        "report", "chunk_index", "line_no", "place", "session_index", F.col("line_type").alias("coverage_type"), "n.hits", "n.hit_branches", "n.total_branches", F.col("complexity.paths").alias("hit_complexity_paths"), F.col("complexity.total").alias("total_complexity"),
-        "branches", "partials", F.when(F.size(mine) > 0, labels).alias("labels"), "raw", error.alias("error"),
+    error = F.when(~F.col("fine"), "malformed line").when(~F.coalesce(valid, F.lit(False)), "malformed session")
+    points = F.when(F.col("points").isNotNull(), F.transform(P.slots(F.col("points")), P.slots))
+    mine = F.filter(points, lambda x: P.number(F.get(x, 0)) == F.col("session_index"))
+    labels = F.when(F.size(mine) > 0, P.slots(F.get(F.element_at(mine, -1), 3)))  # of two datapoints of a session the last counts
+    return normal.select(
+        "report", "chunk_index", F.explode("line_no").alias("line_no"), "place", "session_index", F.col("line_type").alias("coverage_type"), "n.hits", "n.hit_branches", "n.total_branches", F.col("complexity.paths").alias("hit_complexity_paths"), F.col("complexity.total").alias("total_complexity"),
+        "branches", "partials", labels.alias("labels"), "raw", error.alias("error"),
     )
 
 
@@ -129,7 +132,7 @@ def exploded_partials(samples: DataFrame) -> DataFrame:
 
 def exploded_labels(samples: DataFrame, index: DataFrame) -> DataFrame:
     """A row for each label of a sample: a string or number that the header's index knows is the name there, else itself."""
-    label = F.try_variant_get("l", "$", "string")
+    label = F.coalesce(P.string_of(F.col("l")), F.col("l"))
     rows = samples.select("*", F.explode("labels").alias("l")).withColumn("label", label)
     named = index.select("report", "label", F.col("name").alias("__name"))
     return rows.join(named, ["report", "label"], "left").withColumn("label", F.coalesce("__name", "label")).drop("__name", "l")

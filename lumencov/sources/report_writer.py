@@ -86,6 +86,6 @@ def chunks_document(store: CoverageStore) -> DataFrame:
 
 
 def write_report(store: CoverageStore, report_json_path: str, chunks_path: str) -> None:
-    """Writes the two documents as text, each in a folder of one part file."""
-    report_json(store).select(F.col("report_json").alias("value")).coalesce(1).write.option("lineSep", "").text(report_json_path)
-    chunks_document(store).coalesce(1).write.option("lineSep", "").text(chunks_path)
+    """Writes the two documents as text, each in a folder of one part file; a line feed ends each."""
+    report_json(store).select(F.col("report_json").alias("value")).coalesce(1).write.text(report_json_path)
+    chunks_document(store).coalesce(1).write.text(chunks_path)

@@ -13,7 +13,7 @@ from . import sample_store
 
 def _values(spark, texts, expression):
     rows = [(i, t) for i, t in enumerate(texts)]
-    frame = spark.createDataFrame(rows, "i int, t string").withColumn("v", F.try_parse_json("t"))
+    frame = spark.createDataFrame(rows, "i int, t string").withColumn("v", F.get(parsing.slots(parsing.mark_strings(F.concat(F.lit("["), F.col("t"), F.lit("]")))), 0))
     return [r.x for r in frame.select("i", expression(F.col("v")).alias("x")).orderBy("i").collect()]
 
 
