@@ -135,6 +135,11 @@ def labelled_table(rows: int = 1500, seed: int = 7) -> list[tuple[str, list[Span
                 own = _entity(r, kind)
                 spans.append((kind, len(text), len(text) + len(own)))
                 text += own + close + " "
+                if r.random() < 0.25:  # another one right after it
+                    kind = r.choice(KINDS)
+                    own = _entity(r, kind)
+                    spans.append((kind, len(text), len(text) + len(own)))
+                    text += own + " "
             else:
                 text += _decoy(r) + r.choice(["", "", ",", ".", "###"]) + " "
                 if r.random() < 0.3:
@@ -183,11 +188,24 @@ def _core(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+def _places_in_fours(words: list[str], k: int) -> int:
+    """How many words of four digits stand right before this one, up to four; -1 for another word."""
+    fours = lambda w: len(w) == 4 and w.isdigit()
+    if not fours(words[k]):
+        return -1
+    n = 0
+    while n < 4 and k - n > 0 and fours(words[k - n - 1]):
+        n += 1
+    return n
+
+
 def features(text: str, run: list[tuple[int, int]]) -> list[list[str]]:
     before = text[max(0, run[0][0] - 40) : run[0][0]].split()
     after = text[run[-1][1] : run[-1][1] + 40].split()
     clean = lambda w: re.sub(r"[^a-z]", "", w.lower())[:12]
-    words = [text[slice(*_core(text, a, b))] for a, b in run]
+    cores = [_core(text, a, b) for a, b in run]
+    words = [text[a:b] for a, b in cores]
+    tails = [text[b:end][:2] for (_, b), (_, end) in zip(cores, run)]  # what closes a word
     around = [clean(before[-1]) if before else "^", *("" for _ in words), clean(after[0]) if after else "$"]
     out = []
     for k, w in enumerate(words):
@@ -200,6 +218,7 @@ def features(text: str, run: list[tuple[int, int]]) -> list[list[str]]:
             own.append(f"luhn={16 <= len(digits) <= 19 and luhn(''.join(digits))}")
         if w.count(".") == 3 and all(p.isdigit() and len(p) < 5 for p in w.split(".")):
             own.append(f"octets={all(int(p) < 256 for p in w.split('.'))}")
+        own += [f"closed={tails[k - 1] if k else ''}", f"closes={tails[k]}", f"opened={cores[k][0] > run[k][0]}", f"four={_places_in_fours(words, k)}"]
         own += [f"before={around[k]}", f"after={around[k + 2]}", f"left={re.sub('[0-9]', 'd', words[k - 1])[:14] if k else ''}", f"right={re.sub('[0-9]', 'd', words[k + 1])[:14] if k + 1 < len(words) else ''}"]
         out.append(own)
     return out
