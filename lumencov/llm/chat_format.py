@@ -67,7 +67,7 @@ def parse(rendered: Column) -> Column:
     body = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
 
     def whole(p: Column) -> Column:
-        return p.contains("\n") & p.endswith(END + "\n") & (F.size(F.split(p, r"<\|im_end\|>")) == 2)
+        return ~F.substring_index(p, "\n", 1).contains(END) & p.endswith(END + "\n") & (F.size(F.split(p, r"<\|im_end\|>")) == 2)
 
     def turn(p: Column) -> Column:
         role = F.substring_index(p, "\n", 1)

@@ -58,7 +58,7 @@ def _brute(rows, labels):
 
 
 def _rows():
-    base = " ".join(f"word{k % 61} and" for k in range(90))
+    base = " ".join(f"word{k} and" for k in range(90))  # no word triple comes twice
     good = [(k, f"{base} {k} some plain words here", 1) for k in range(40)]
     bad = [(100 + k, " ".join(f"w{j + k}$$$ x{j}%%%" for j in range(60)), 0) for k in range(20)]
     return good + bad + [(300 + k, f"{base} unlabelled {k}", None) for k in range(10)] + [(400, "short text", None), (401, "again and again " * 40, None), (402, None, None)]
