@@ -95,7 +95,8 @@ def token_counts(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
     folder = folder or common.shared_dir(docs.sparkSession)
     listed = common.materialise(write_flat_files(docs, folder + "/flat", tokenizer, end_id, **columns), folder, "listed")
     counts = count_tokens(listed.where("place < 0").select("file", "n_ids", "width"), end_id, block_ids)
-    return listed.where("place >= 0").select("file", "place", "doc_id").join(counts, ["file", "place"]).select("doc_id", "n_tokens")
+    # both sides have a row for each document, which their small Parquet files don't show: no broadcast
+    return listed.where("place >= 0").select("file", "place", "doc_id").hint("merge").join(counts, ["file", "place"]).select("doc_id", "n_tokens")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
