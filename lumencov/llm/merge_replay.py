@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -45,7 +46,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class MergeReplay:
     def __init__(self, path: str, pattern: str, cache_words: int = CACHE_WORDS):
         self.ranks = read_ranks(path)
-        self.tokens: dict[int, bytes] = {k: t for t, k in self.ranks.items()}
+        self.bytes_of = {k: t for t, k in self.ranks.items()}
+        self.decimal_of = {k: str(k) for k in self.bytes_of}
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)])
         pairs = {}
         for token, rank in self.ranks.items():
@@ -55,8 +57,8 @@ class MergeReplay:
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ranks = np.array([pairs[k] for k in sorted(pairs)], np.int64)
         self.split = regex.compile(pattern).findall
-        self.cache: dict[str, tuple[bytes, str]] = {}  # of pieces
-        self.chunks: dict[str, tuple[bytes, str]] = {}  # of what stands between two spaces, with the first of them
+        self.cache: dict[str, bytes] = {}  # of pieces
+        self.chunks: dict[str, bytes] = {}  # of what stands between two spaces, with the first of them
         self.cache_words = cache_words
 
     def _ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -137,24 +139,17 @@ class MergeReplay:
             out[k] = listed[x:y]
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), REPLAY_WORDS):
-            part = words[i : i + REPLAY_WORDS]
-            for word, ids in zip(part, self.replay([w.encode("utf-8") for w in part])):
-                self.cache[word] = (np.array(ids, "<u4").tobytes(), ",".join(map(str, ids)))
-
-    def _known(self, words: list[list[str]]) -> list[tuple[bytes, str]]:
-        """Ids of lists of pieces, bytes and decimal."""
-        missing = set().union(*words).difference(self.cache)
-        self._learn(list(missing))
-        out = []
-        for w in words:
-            known = [self.cache[x] for x in w]
-            out.append((b"".join([k[0] for k in known]), ",".join([k[1] for k in known])))
-        return out
+    def _known(self, pieces: list[list[str]]) -> list[bytes]:
+        """Ids of lists of pieces."""
+        missing = list(set().union(*pieces).difference(self.cache))
+        for i in range(0, len(missing), REPLAY_WORDS):
+            part = missing[i : i + REPLAY_WORDS]
+            self.cache.update(zip(part, [array("I", ids).tobytes() for ids in self.replay([w.encode("utf-8") for w in part])]))
+        get = self.cache.__getitem__
+        return [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in pieces]
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str]]:
-        """Each text's ids, and the same in decimal joined by commas.
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        """Each text's ids.
 
         Where single spaces stand between other characters, no piece crosses from before a space to it, so the
         chunks between spaces are looked up; other texts go by their pieces.
@@ -164,20 +159,23 @@ class MergeReplay:
                 early = list(islice(kept.items(), self.cache_words // 2))
                 kept.clear()
                 kept.update(early)
-        even = [evenly_spaced(t) for t in texts]
-        cut = [t.split(" ") if e else [] for t, e in zip(texts, even)]
-        missing = list(set().union(*[c[1:] for c in cut]).difference(self.chunks))
-        heads = [self.split(c[0] if e else t) for t, c, e in zip(texts, cut, even)]
-        found = self._known([*heads, *[self.split(" " + c) for c in missing]])
+        heads, tails = [], []
+        for t in texts:
+            head, *tail = t.split(" ") if evenly_spaced(t) else (t,)
+            heads.append(self.split(head))
+            tails.append(tail)
+        missing = list(set().union(*tails).difference(self.chunks))
+        found = self._known([*heads, *[[" " + c] if c.isalpha() else self.split(" " + c) for c in missing]])
         self.chunks.update(zip(missing, found[len(texts) :]))
         get = self.chunks.__getitem__
-        for (raw, decimal), chunks in zip(found, cut):
-            known = list(map(get, chunks[1:]))
-            said = [k[1] for k in known]
-            yield np.frombuffer(raw + b"".join([k[0] for k in known]), "<u4"), ",".join([decimal, *said] if decimal else said)
+        for raw, tail in zip(found, tails):
+            yield np.frombuffer(raw + b"".join(map(get, tail)), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return b"".join(map(self.bytes_of.__getitem__, ids))
+
+    def in_decimal(self, ids: list[int]) -> str:
+        return ",".join(map(self.decimal_of.__getitem__, ids))
 
 
 @lru_cache(2)
@@ -202,11 +200,10 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.
         def answer(doc_ids: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
             for i, rows in _in_parts(code.encode(texts), 512):
                 n, said, back, ids_out, text_out = [], [], [], [], []
-                for ids, decimal in rows:
-                    listed = ids.tolist()
+                for listed in rows:
                     decoded = code.decode(listed)
                     n.append(len(listed))
-                    said.append(hashlib.sha256(decimal.encode()).hexdigest())
+                    said.append(hashlib.sha256(code.in_decimal(listed).encode()).hexdigest())
                     back.append(hashlib.sha256(decoded).hexdigest())
                     if keep_ids:
                         ids_out.append(listed)
