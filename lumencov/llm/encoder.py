@@ -21,7 +21,7 @@ import numpy as np
 import regex
 
 #: Chunks that a worker keeps; beyond it the later half is dropped (frequent ones come early).
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 150_000
 KEPT_LENGTH = 10  # characters of a chunk that is kept: longer ones rarely come again
 _UNUSUAL = re.compile("[^\t\n\r -~¡-¬®-ɏ]")
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
