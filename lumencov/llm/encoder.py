@@ -14,15 +14,14 @@ import os
 import re
 from array import array
 from functools import lru_cache
-from itertools import islice
 from operator import attrgetter
 
 import numpy as np
 import regex
 
-#: Chunks that a worker keeps; beyond it the later half is dropped (frequent ones come early).
-CACHE_CHUNKS = 150_000
-KEPT_LENGTH = 10  # characters of a chunk that is kept: longer ones rarely come again
+#: Chunks that a worker keeps.
+CACHE_CHUNKS = 200_000
+KEPT_LENGTH = 40  # characters of a chunk that is kept: longer ones rarely come again
 _UNUSUAL = re.compile("[^\t\n\r -~¡-¬®-ɏ]")
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _ID = attrgetter("id")
@@ -42,23 +41,24 @@ def byte_letters() -> dict[int, str]:
 
 
 class _Kept(dict):
-    """Values by key, made when first asked for."""
+    """Values by key, made when first asked for; what wasn't asked for through two halves of the bound goes."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.older.pop(key, None)
+        if value is None:
+            value = self.make(key)
         if len(key) <= KEPT_LENGTH:
             self[key] = value
         return value
 
     def bound(self, most: int) -> None:
-        if len(self) > most:
-            early = list(islice(self.items(), most // 2))
+        if len(self) > most // 2:
+            self.older = dict(self)
             self.clear()
-            self.update(early)
 
 
 class TextEncoder:
