@@ -31,6 +31,11 @@ def _picked(operator: Callable[[CoverageStore, DataFrame], DataFrame]) -> Query:
     return query
 
 
+def _of_all_samples(operator: Callable[[CoverageStore, DataFrame], DataFrame]) -> Query:
+    """A look-up for every sample of the store."""
+    return _on(lambda store: operator(store, store.coverage_sample))
+
+
 def _merged(table: str) -> Query:
     """The store cut in two by upload and merged again; both halves know all files and every fifth upload."""
 
@@ -151,6 +156,7 @@ def queries() -> dict[str, Query]:
     out |= {
         "list_files": _on(lists.list_files), "list_contexts": _on(lists.list_contexts), "list_raw_uploads": _on(lists.list_raw_uploads), "list_coverage_samples": _on(lists.list_coverage_samples),
         "branches_for_sample": _picked(lists.branches_for_samples), "method_for_sample": _picked(lists.methods_for_samples), "spans_for_sample": _picked(lists.spans_for_samples), "contexts_for_sample": _picked(lists.contexts_for_samples),
+        "branches_for_samples": _of_all_samples(lists.branches_for_samples), "methods_for_samples": _of_all_samples(lists.methods_for_samples), "spans_for_samples": _of_all_samples(lists.spans_for_samples), "contexts_for_samples": _of_all_samples(lists.contexts_for_samples),
         "samples_for_file": _on(lambda s: lists.samples_for_files(s, s.source_file.where("id % 20 = 1"))),
         "totals": _on(totals.totals), "line_status": _on(status.line_status), "flattened_lines": _on(files.flattened_lines), "chunk_index": _on(files.chunk_index), "file_totals": _on(files.file_totals), "coverage_pct": _on(files.file_coverage),
         "session_index": _on(sessions.session_index), "session_totals": _on(sessions.session_totals),

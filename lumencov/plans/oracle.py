@@ -132,6 +132,10 @@ def oracle_sql() -> dict[str, str]:
         "method_for_sample": _over(f"SELECT * FROM method_data WHERE {_PICK}"),
         "spans_for_sample": _over(f"SELECT * FROM span_data WHERE {_PICK}"),
         "contexts_for_sample": _over(f"SELECT raw_upload_id, local_sample_id, id, name FROM context_assoc JOIN context ON context_id = id WHERE {_PICK}"),
+        "branches_for_samples": _over("SELECT * FROM branches_data"),
+        "methods_for_samples": _over("SELECT * FROM method_data"),
+        "spans_for_samples": _over("SELECT * FROM span_data"),
+        "contexts_for_samples": _over("SELECT raw_upload_id, local_sample_id, id, name FROM context_assoc JOIN context ON context_id = id"),
         "samples_for_file": _over("SELECT * FROM coverage_sample WHERE source_file_id % 20 = 1"),
         "totals": _over(TOTALS),
         "line_status": _over("SELECT * FROM line_status", s),

@@ -36,3 +36,10 @@ def test_every_engine_query_has_sql():
     from lumencov.plans import catalog, oracle
 
     assert catalog.queries().keys() == oracle.oracle_sql().keys()
+
+
+@pytest.mark.parametrize(("name", "table"), [("branches_for_samples", "branches_data"), ("methods_for_samples", "method_data"), ("spans_for_samples", "span_data"), ("contexts_for_samples", "context_assoc")])
+def test_lookup_covers_every_sample(spark, name, table):
+    """The rows of all uploads and samples, as many as the table itself has."""
+    queries = entry.queries()
+    assert queries[name](spark, SF).count() == queries[f"scan_{table}"](spark, SF).count() > 0
