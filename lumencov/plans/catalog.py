@@ -157,7 +157,7 @@ def queries() -> dict[str, Query]:
         "list_files": _on(lists.list_files), "list_contexts": _on(lists.list_contexts), "list_raw_uploads": _on(lists.list_raw_uploads), "list_coverage_samples": _on(lists.list_coverage_samples),
         "branches_for_sample": _picked(lists.branches_for_samples), "method_for_sample": _picked(lists.methods_for_samples), "spans_for_sample": _picked(lists.spans_for_samples), "contexts_for_sample": _picked(lists.contexts_for_samples),
         "branches_for_samples": _of_all_samples(lists.branches_for_samples), "methods_for_samples": _of_all_samples(lists.methods_for_samples), "spans_for_samples": _of_all_samples(lists.spans_for_samples), "contexts_for_samples": _of_all_samples(lists.contexts_for_samples),
-        "samples_for_file": _on(lambda s: lists.samples_for_files(s, s.source_file.where("id % 20 = 1"))),
+        "samples_for_file": _on(lambda s: lists.samples_for_files(s, s.source_file.where("id % 20 = 1"))), "samples_for_files": _on(lambda s: lists.samples_for_files(s, s.source_file)),
         "totals": _on(totals.totals), "line_status": _on(status.line_status), "flattened_lines": _on(files.flattened_lines), "chunk_index": _on(files.chunk_index), "file_totals": _on(files.file_totals), "coverage_pct": _on(files.file_coverage),
         "session_index": _on(sessions.session_index), "session_totals": _on(sessions.session_totals),
         "line_sessions": _on(lines.line_sessions), "report_line_totals": _on(lines.report_line_totals), "present_sessions": _on(lines.present_sessions), "missing_branches": _on(lines.missing_branches), "line_partials": _on(lines.line_partials), "line_labels": _on(lines.line_labels),

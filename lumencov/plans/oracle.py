@@ -137,6 +137,7 @@ def oracle_sql() -> dict[str, str]:
         "spans_for_samples": _over("SELECT * FROM span_data"),
         "contexts_for_samples": _over("SELECT raw_upload_id, local_sample_id, id, name FROM context_assoc JOIN context ON context_id = id"),
         "samples_for_file": _over("SELECT * FROM coverage_sample WHERE source_file_id % 20 = 1"),
+        "samples_for_files": _over("SELECT * FROM coverage_sample WHERE source_file_id IN (SELECT id FROM source_file)"),
         "totals": _over(TOTALS),
         "line_status": _over("SELECT * FROM line_status", s),
         "flattened_lines": _over("SELECT * FROM flattened_lines", s),

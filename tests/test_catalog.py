@@ -43,3 +43,10 @@ def test_lookup_covers_every_sample(spark, name, table):
     """The rows of all uploads and samples, as many as the table itself has."""
     queries = entry.queries()
     assert queries[name](spark, SF).count() == queries[f"scan_{table}"](spark, SF).count() > 0
+
+
+def test_lookup_covers_every_file(spark):
+    queries = entry.queries()
+    found = {r.source_file_id for r in queries["samples_for_files"](spark, SF).select("source_file_id").distinct().collect()}
+    assert found == {r.source_file_id for r in queries["scan_coverage_sample"](spark, SF).select("source_file_id").distinct().collect()}
+    assert {k % 20 for k in found} == set(range(20))
