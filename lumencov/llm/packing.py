@@ -11,13 +11,13 @@ node floor(x * left / both) of the first x ids to the left and the rest to the r
 grows with x on either side, serves each queue to its last id, and leaves a deficit of at most one id
 for each level of the tree. The same tree read upwards gives an id's window from its place in the queue.
 
-With targets, some queues end before others; the corpus is then packed in phases, one for each
-queue that ends, and what is left shares the windows in the proportions of the targets that remain.
+With targets, some queues end before others; the corpus is then packed in phases, one for each targeted
+queue that ends, over a tree of the targeted queues; what no target names is packed after them in its own proportions.
 
-Queues: sources are hashed to `most_queues` queues beyond that number of sources, so that what the
-driver holds (one total for each queue) is bounded. The driver also gets one number for each
-partition and queue in it; partitions are ranges of (queue, doc_id), so that these are fewer than
-partitions plus queues.
+Every source is a queue of its own, at any number of sources. Up to `most_queues` the driver holds their
+totals and tasks get the whole tree. Beyond, totals are a table, the tree is built in subtrees of at most `most_queues`
+leaves, and each document is joined to its queue's way through the tree; the pieces are the same. The join is by
+(partition, queue), so a hot queue is as spread as its ranges. The driver gets one row for each partition, and totals of targeted queues.
 
 Nulls: a null text is empty (its end id alone); a null source is a queue; a null doc_id sorts first.
 Repeated rows are documents of their own. An empty table gives an empty result. Extra columns are ignored.
@@ -50,39 +50,30 @@ def mul_div(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np
     return quotient, rest
 
 
-class Tree:
-    """Balanced binary tree over the totals of queues, as arrays by level from the root."""
+class Ways:
+    """The ways of queues from a tree's root to their leaves."""
 
-    def __init__(self, totals: list[int]):
-        size = 1 << max(0, (len(totals) - 1).bit_length())
-        level = np.array([*totals, *[0] * (size - len(totals))], np.int64)
-        self.levels = [level]
-        while len(level) > 1:
-            level = level[0::2] + level[1::2]
-            self.levels.insert(0, level)
-        self.total = int(level[0])
+    depth: int
+    total: int
+
+    def step(self, d: int, queue: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """At the queue's node of level d: ids of its left child, ids of both, and whether the queue is to the right."""
+        raise NotImplementedError
 
     def served(self, queue: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the first x ids of all: how many are the queue's, and how many are those of queues before it."""
-        before, depth = np.zeros_like(x), len(self.levels) - 1
-        for d in range(depth):
-            node = queue >> (depth - d)
-            left = self.levels[d + 1][2 * node]
-            both = np.maximum(self.levels[d][node], 1)
-            first = mul_div(x, left, both)[0]
-            right = ((queue >> (depth - d - 1)) & 1).astype(bool)
+        before = np.zeros_like(x)
+        for d in range(self.depth):
+            left, both, right = self.step(d, queue)
+            first = mul_div(x, left, np.maximum(both, 1))[0]
             before = np.where(right, before + first, before)
             x = np.where(right, x - first, first)
         return x, before
 
     def place(self, queue: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Place among all ids of the queue's id number k."""
-        depth = len(self.levels) - 1
-        for d in range(depth - 1, -1, -1):
-            node = queue >> (depth - d)
-            both = self.levels[d][node]
-            left = self.levels[d + 1][2 * node]
-            right = ((queue >> (depth - d - 1)) & 1).astype(bool)
+        for d in range(self.depth - 1, -1, -1):
+            left, both, right = self.step(d, queue)
             own = np.maximum(np.where(right, both - left, left), 1)
             # the least number x of the node's ids of which k + 1 are the child's, less one
             whole, rest = _unscale(np.where(right, k, k + 1), both, own)
@@ -90,6 +81,37 @@ class Tree:
         return k
 
 
+class Tree(Ways):
+    """Balanced binary tree over the totals of queues, as arrays by level from the root."""
+
+    def __init__(self, totals: list[int]):
+        size = 1 << max(0, (len(totals) - 1).bit_length())
+        level = np.array([*totals, *[0] * (size - len(totals))], np.int64)
+        self.levels = [level]
+        while len(level) > 1:
+            level = level[0::2] + level[1::2]
+            self.levels.insert(0, level)
+        self.depth, self.total = len(self.levels) - 1, int(level[0])
+
+    def step(self, d: int, queue: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        node = queue >> (self.depth - d)
+        return self.levels[d + 1][2 * node], self.levels[d][node], ((queue >> (self.depth - d - 1)) & 1).astype(bool)
+
+
+class Rows(Ways):
+    """Ways of a batch's rows, which stand for their queues: of a tree that the task has, or of columns (levels by rows)."""
+
+    def __init__(self, number: np.ndarray, tree: Tree | None = None, left: np.ndarray | None = None, both: np.ndarray | None = None, total: int = 0):
+        self.number, self.tree, self.left, self.both = number, tree, left, both
+        self.depth, self.total = (tree.depth, tree.total) if tree else (len(left), total)
+
+    def step(self, d: int, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        number = self.number[row]
+        if self.tree:
+            return self.tree.step(d, number)
+        return self.left[d][row], self.both[d][row], ((number >> (self.depth - d - 1)) & 1).astype(bool)
+
+
 def _unscale(k: np.ndarray, both: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """floor(k * both / own) and the remainder, for k <= own <= both < 2**46."""
     whole, part = both // own, both % own
@@ -101,7 +123,7 @@ def _unscale(k: np.ndarray, both: np.ndarray, own: np.ndarray) -> tuple[np.ndarr
 class Phase:
     begins: int  # ids packed before it
     taken: np.ndarray  # ids of each queue packed before it
-    tree: Tree
+    tree: Ways
 
 
 def phases(totals: list[int], targets: list[float] | None = None) -> list[Phase]:
@@ -155,36 +177,77 @@ def cut(plan: list[Phase], queue: np.ndarray, start: np.ndarray, length: np.ndar
     return tuple(c[order] for c in columns)
 
 
-def encode_queues(docs: DataFrame, tokenizer: str, end_id: int, most_queues: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Documents by ranges of (queue, doc_id) with their ids, and each one's start within its partition and queue."""
+def encode_queues(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """Documents by ranges of (queue, doc_id) with their ids, the queue's place in its partition, and each document's start within both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         code, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         kind = "<u2" if max(code.vocab_size, end_id + 1) <= 1 << 16 else "<u4"
-        part, queue, total = TaskContext.get().partitionId(), object(), 0
+        part, queue, nth, total = TaskContext.get().partitionId(), object(), -1, 0
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 rows = batch.slice(i, 64)
-                starts, sizes, ids = [], [], []
+                places, starts, sizes, ids = [], [], [], []
                 for q, raw in zip(rows.column(0).to_pylist(), code.encode(rows.column(2).to_pylist())):
                     if q != queue:
-                        queue, total = q, 0
+                        queue, nth, total = q, nth + 1, 0
+                    places.append(nth)
                     starts.append(total)
                     sizes.append(len(raw) // 4 + 1)
                     total += sizes[-1]
                     ids.append(np.frombuffer(raw + end, "<u4").astype(kind).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * rows.num_rows, pa.int32()), rows.column(0), rows.column(1), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], ["part", "queue", "doc_id", "start", "n", "ids"]
+                    [pa.array([part] * rows.num_rows, pa.int32()), rows.column(0), pa.array(places, pa.int64()), rows.column(1), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
+                    ["part", "queue", "nth", "doc_id", "start", "n", "ids"],
                 )
 
-    source = F.col(f"`{source_col}`").cast("string")
-    few = docs.select(source.alias("s")).distinct().limit(most_queues + 1).count() <= most_queues
-    queue = source if few else F.concat(F.lit("queue "), F.pmod(F.xxhash64(source), F.lit(most_queues)).cast("string"))
-    own = docs.select(queue.alias("queue"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), common.whole_text(text_col).alias("text"))
+    own = docs.select(F.col(f"`{source_col}`").cast("string").alias("queue"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), common.whole_text(text_col).alias("text"))
     ordered = own.repartitionByRange("queue", "doc_id").sortWithinPartitions("queue", "doc_id")
-    return common.map_arrow(ordered, run, "part int, queue string, doc_id long, start long, n long, ids binary")
+    return common.map_arrow(ordered, run, "part int, queue string, nth long, doc_id long, start long, n long, ids binary")
+
+
+def number_queues(coded: DataFrame) -> tuple[dict[int, tuple[int, int]], int]:
+    """By partition: the number of its first queue, and that queue's ids in partitions before it; and how many queues there are.
+
+    Partitions are ranges, so only the first queue of one can go on from those before.
+    """
+    last = F.max(F.struct("nth", (F.col("start") + F.col("n")).alias("n")))
+    parts = coded.groupBy("part").agg(F.min_by("queue", "nth").alias("first"), F.max_by("queue", "nth").alias("last"), last.alias("end")).orderBy("part").collect()
+    out, number, queue, total = {}, -1, None, 0
+    for r in parts:
+        goes_on = number >= 0 and r.first == queue
+        base, before = (number, total) if goes_on else (number + 1, 0)
+        out[r.part] = base, before
+        number, queue, total = base + r.end.nth, r.last, r.end.n + (before if r.end.nth == 0 else 0)
+    return out, number + 1
+
+
+def ways(totals: DataFrame, count: int, bits: int) -> DataFrame:
+    """Of (number, n), numbers from 0 to count: number, and on its way from the root the ids of left children and of nodes.
+
+    Queues are taken in blocks of 2**bits, each a subtree made in one group; the blocks are the queues of the tree above.
+    """
+    root, columns = count <= 1 << bits, "number long, block long, left array<long>, both array<long>"
+
+    def run(table: pa.Table) -> pa.Table:
+        number, n = (table.column(c).to_numpy() for c in ("number", "n"))
+        leaves = np.zeros(count if root else 1 << bits, np.int64)
+        own = number & ((1 << bits) - 1)
+        leaves[own] = n
+        tree = Tree(leaves.tolist())
+        steps = [tree.step(d, own) for d in range(tree.depth)]
+        lists = [[list(map(int, x)) for x in zip(*(s[c] for s in steps))] if steps else [[]] * len(own) for c in (0, 1)]
+        return pa.table([pa.array(number, pa.int64()), pa.array(number >> bits, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], ["number", "block", "left", "both"])
+
+    blocks = totals.select("number", "n", F.shiftright("number", bits).alias("block"))
+    own = blocks.groupBy("block").applyInArrow(run, columns)
+    if root:
+        return own.drop("block")
+    above = ways(blocks.groupBy("block").agg(F.sum("n").alias("n")).withColumnRenamed("block", "number"), (count + (1 << bits) - 1) >> bits, bits)
+    above = above.select(F.col("number").alias("block"), F.col("left").alias("l"), F.col("both").alias("b"))
+    return own.join(above, "block").select("number", F.concat("l", "left").alias("left"), F.concat("b", "both").alias("both"))
 
 
 def pack_documents(
@@ -193,25 +256,56 @@ def pack_documents(
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with keep_ids its ids.
 
     targets: share of each source in a window (any scale; 0 or none: packed after the others).
+    most_queues: beyond so many sources, their totals and the tree are tables.
     """
     spark = docs.sparkSession
     folder = common.shared_dir(spark)
-    coded = common.materialise(encode_queues(docs, tokenizer, end_id, most_queues, id_col, text_col, source_col), folder, "coded")
-    runs = coded.groupBy("part", "queue").agg(F.sum("n").alias("n")).collect()  # fewer than partitions + queues
-    queues = sorted({r.queue for r in runs}, key=lambda q: (q is not None, q))
-    number = {q: i for i, q in enumerate(queues)}
-    totals, first = [0] * len(queues), {}
-    for r in sorted(runs, key=lambda r: r.part):
-        first[r.part, r.queue] = totals[number[r.queue]]
-        totals[number[r.queue]] += r.n
-    plan = phases(totals, None if targets is None else [float(targets.get(q, 0)) for q in queues])
+    coded = common.materialise(encode_queues(docs, tokenizer, end_id, id_col, text_col, source_col), folder, "coded")
+    parts, count = number_queues(coded)  # a row for each partition
+    bases = F.broadcast(spark.createDataFrame([(p, base) for p, (base, _) in parts.items()], "part int, base long"))
+    totals = coded.select("part", "nth", "queue", "n").join(bases, "part").groupBy((F.col("base") + F.col("nth")).alias("number")).agg(F.sum("n").alias("n"), F.first("queue").alias("queue"))
+    wide = count > most_queues
+    if wide:
+        totals = common.materialise(totals, folder, "totals")
+    wanted = {q: float(t) for q, t in (targets or {}).items() if t > 0}
+    named = totals
+    if wide:
+        names = [q for q in wanted if q is not None]
+        named = totals.where(F.col("queue").isin(names) | (F.col("queue").isNull() & F.lit(None in wanted))) if wanted else totals.limit(0)
+    held = sorted((r.number, r.n, r.queue) for r in named.collect()) if wanted or not wide else []
+    first = [r for r in held if r[2] in wanted]
+    of_target = {number: i for i, (number, _, _) in enumerate(first)}
+    plan = phases([n for _, n, _ in first], [wanted[q] for _, _, q in first])
+    packed, ended = sum(n for _, n, _ in first), np.array([*[n for _, n, _ in first], 0], np.int64)
+    tree, rest = None, 0
+    if wide:
+        left = F.when(F.col("number").isin(list(of_target)), F.lit(0)).otherwise(F.col("n")) if of_target else F.col("n")
+        others = totals.select("number", left.cast("long").alias("n"))
+        rest = others.agg(F.sum("n")).first()[0]
+        runs = coded.select("part", "nth").distinct().join(bases, "part").withColumn("number", F.col("base") + F.col("nth"))
+        own = ways(others, count, max(1, most_queues.bit_length() - 1))
+        coded = coded.join(runs.join(own, "number").select("part", "nth", "left", "both"), ["part", "nth"])
+    else:
+        tree = Tree([0 if number in of_target else n for number, n, _ in held])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, names, raws = (batch.column(c).to_pylist() for c in ("part", "queue", "ids"))
-            start, n = (batch.column(c).to_numpy() for c in ("start", "n"))
-            begins = start + np.array([first[x] for x in zip(parts, names)], np.int64)
-            doc, place, length, sequence, offset = cut(plan, np.array([number[q] for q in names], np.int64), begins, n, window)
+            raws = batch.column("ids").to_pylist()
+            part, nth, start, n = (batch.column(c).to_numpy() for c in ("part", "nth", "start", "n"))
+            if not len(n):
+                continue
+            base, before = np.array([parts[p] for p in part.tolist()], np.int64).T
+            number, begins = base + nth, start + np.where(nth == 0, before, 0)
+            target = np.array([of_target.get(q, -1) for q in number.tolist()], np.int64)
+            if wide:
+                left, both = (batch.column(c).flatten().to_numpy().reshape(len(n), -1).T for c in ("left", "both"))
+                last = Rows(number, left=left, both=both, total=rest)
+            else:
+                last = Rows(number, tree)
+            # rows without a target have no part in the phases before the last
+            mine = [Phase(p.begins, np.where(target < 0, 0, np.append(p.taken, 0)[target]), Rows(target, p.tree)) for p in plan] if (target >= 0).any() else []
+            mine.append(Phase(packed, ended[target], last))
+            doc, place, length, sequence, offset = cut(mine, np.arange(len(n)), begins, n, window)
             at = place - begins[doc]
             kept: list[list[int]] = []
             crc = np.zeros(len(doc), np.int64)

@@ -114,6 +114,41 @@ def test_many_sources_share_queues(spark):
     _check([r[:2] for r in rows], packing.pack_documents(frame, JSON, 1, window=64, most_queues=3).collect(), 64)
 
 
+def _pieces(frame, **more):
+    return sorted(tuple((v is not None, v) for v in r) for r in packing.pack_documents(frame, JSON, 1, window=256, **more).collect())
+
+
+@pytest.mark.parametrize("targets", [None, {"hot": 0.5, "s1": 0.25, "s2": 0.25}])
+def test_pieces_do_not_depend_on_most_queues(spark, targets):
+    """Nine sources, a null among them, over 3 and then 5 queues: the tree is a table of several rounds, and its pieces the same."""
+    rows, _ = _corpus(spark)
+    frame = spark.createDataFrame([(k, t, None if k % 29 == 0 else s) for k, t, s in rows], "doc_id long, text string, source string").repartition(11)
+    want = _pieces(frame, targets=targets)
+    assert _pieces(frame, targets=targets, most_queues=3) == want == _pieces(frame, targets=targets, most_queues=5)
+
+
+def test_mixture_holds_above_most_queues(spark):
+    rows, frame = _corpus(spark)
+    windows, ids = _check([r[:2] for r in rows], packing.pack_documents(frame, JSON, 1, window=256, most_queues=3).collect(), 256)
+    source, total = {k: s for k, _, s in rows}, Counter()
+    for d, own in ids.items():
+        total[source[d]] += len(own)
+    for s, parts in windows.items():
+        have = Counter()
+        for _, length, d in parts:
+            have[source[d]] += length
+        assert s == max(windows) or all(abs(have[q] - 256 * n / sum(total.values())) <= 5 for q, n in total.items())
+
+
+def test_targets_hold_above_most_queues(spark):
+    rows, frame = _corpus(spark)
+    windows, _ = _check([r[:2] for r in rows], packing.pack_documents(frame, JSON, 1, window=256, most_queues=3, targets={"hot": 0.5, "s1": 0.25, "s2": 0.25}).collect(), 256)
+    source, have = {k: s for k, _, s in rows}, Counter()
+    for _, length, d in windows[0]:
+        have[source[d]] += length
+    assert abs(have["hot"] - 128) <= 3 and abs(have["s1"] - 64) <= 3 and abs(have["s2"] - 64) <= 3
+
+
 def test_ids_are_kept_on_request_and_no_rows(spark):
     p = packing.pack_documents(frames.documents(spark), JSON, 1, keep_ids=True).first()
     assert len(p.ids) == p.length
