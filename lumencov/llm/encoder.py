@@ -6,6 +6,9 @@ characters, the text between two spaces, with the first of them, is encoded alik
 model has to see each such chunk once only, its ids are kept, and a text's ids are those of its chunks joined.
 Texts with characters beyond Latin go through the library whole, as its pre-tokenizer and the pattern here may
 follow different Unicode versions there.
+
+The strings of special tokens in a text are what the library makes of them by default, their special ids; with
+`specials` false they are ordinary text, so that no text can hold such an id.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from operator import attrgetter
 import numpy as np
 import regex
 
-#: Chunks that a worker keeps.
+#: Chunks that a worker keeps, about 200 bytes each.
 CACHE_CHUNKS = 200_000
 KEPT_LENGTH = 40  # characters of a chunk that is kept: longer ones rarely come again
 _UNUSUAL = re.compile("[^\t\n\r -~¡-¬®-ɏ]")
@@ -62,13 +65,15 @@ class _Kept(dict):
 
 
 class TextEncoder:
-    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
+    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS, specials: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not specials
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(added)).search if specials and added else lambda text: None
         self.model = self.tokenizer.model
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.split = regex.compile(public_tokenizers.PATTERN).findall
@@ -97,7 +102,7 @@ class TextEncoder:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         out, rest = [], []
         for i, text in enumerate(texts):
-            if (_CONTROL if text.isascii() else _UNUSUAL).search(text):
+            if (_CONTROL if text.isascii() else _UNUSUAL).search(text) or self.special(text):
                 rest.append(i)
                 out.append(b"")
                 continue
@@ -115,6 +120,6 @@ class TextEncoder:
 
 
 @lru_cache(2)
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, specials: bool = True) -> TextEncoder:
     """One for each worker process."""
-    return TextEncoder(path)
+    return TextEncoder(path, specials=specials)

@@ -34,7 +34,7 @@ def write_flat_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     """A file for each partition, documents in the order they come; a row for each document: file, place in it, doc_id, and in the last row of a file its ids."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(tokenizer)
+        code = encoder(tokenizer, specials=False)
         kind = f"<u{id_width(max(code.vocab_size, end_id + 1))}"
         end, path, place, total = np.array([end_id], kind).tobytes(), None, 0, 0
         for batch in batches:

@@ -10,7 +10,8 @@ validity of document ids (u8 each); trailer (n_blocks, n_docs, n_tokens, offset
 
 Nulls: a null text is empty (it has the end id alone); a null doc_id sorts first and is kept as
 null. Repeated rows are documents of their own, in an arbitrary order among themselves. An
-empty table gives an empty result. Extra columns are ignored.
+empty table gives an empty result. Extra columns are ignored. The string of a special token in a text gets its special
+id, as the library's plain call gives it; lengths come from the file's own table, so an id may be any.
 """
 
 from __future__ import annotations

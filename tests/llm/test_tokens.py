@@ -21,6 +21,15 @@ JSON, MULTI = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pat
 def plain():
     from tokenizers import Tokenizer
 
+    t = Tokenizer.from_file(JSON)
+    return lambda text: t.encode(text, add_special_tokens=False).ids
+
+
+@pytest.fixture(scope="module")
+def ordinary():
+    """Strings of special tokens are ordinary text."""
+    from tokenizers import Tokenizer
+
     t = Tokenizer.from_file(JSON)
     t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
@@ -33,13 +42,21 @@ def library():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merge_replay.read_ranks(MULTI), special_tokens={})
 
 
-_TEXT = st.text(st.one_of(st.sampled_from("ab 's\n\t\r  é.1!<|>"), st.characters(exclude_categories=["Cs"])), max_size=60)
+_TEXT = st.lists(st.one_of(st.sampled_from([*"ab 's\n\t\r  é.1!<|>", "<|endoftext|>"]), st.characters(exclude_categories=["Cs"])), max_size=60).map("".join)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(_TEXT, max_size=5))
-def test_encoder_is_the_library(plain, texts):
+def test_encoder_is_the_library(plain, ordinary, texts):
     assert [np.frombuffer(b, "<u4").tolist() for b in encoder(JSON).encode(texts)] == [plain(t) for t in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder(JSON, specials=False).encode(texts)] == [ordinary(t) for t in texts]
+
+
+def test_string_of_a_special_token(plain, ordinary):
+    text = "hello <|endoftext|> bye"
+    (special,), (own,) = encoder(JSON).encode([text]), encoder(JSON, specials=False).encode([text])
+    assert np.frombuffer(special, "<u4").tolist() == plain(text) and 50256 in plain(text)
+    assert np.frombuffer(own, "<u4").tolist() == ordinary(text) and 50256 not in ordinary(text)
 
 
 def test_encoder_with_a_tiny_cache(plain):
@@ -137,13 +154,13 @@ def test_token_files(spark, plain, tmp_path, block):
 
 
 @pytest.mark.parametrize("block", [1, 7, 64, 1 << 20])
-def test_separator_scan(spark, plain, block):
+def test_separator_scan(spark, ordinary, block):
     rows = separator_scan.token_counts(frames.documents(spark), JSON, 50256, block_ids=block).collect() if block > 1 else []
     if block == 1:
         small = spark.createDataFrame([(1, "a b"), (2, None), (3, "c"), (4, "")], "doc_id long, text string").coalesce(1)
         assert sorted(map(tuple, separator_scan.token_counts(small, JSON, 50256, block_ids=1).collect())) == [(1, 2), (2, 0), (3, 1), (4, 0)]
         return
-    assert Counter((r.doc_id, r.n_tokens) for r in rows) == Counter((d, len(plain(frames.text_of(t)))) for d, t in frames.TEXTS)
+    assert Counter((r.doc_id, r.n_tokens) for r in rows) == Counter((d, len(ordinary(frames.text_of(t)))) for d, t in frames.TEXTS)
     assert separator_scan.token_counts(frames.empty(spark), JSON, 50256).count() == 0
 
 
