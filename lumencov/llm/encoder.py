@@ -23,7 +23,7 @@ import numpy as np
 import regex
 
 #: Chunks that a worker keeps, about 200 bytes each.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 800_000
 KEPT_LENGTH = 40  # characters of a chunk that is kept: longer ones rarely come again
 _UNUSUAL = re.compile("[^\t\n\r -~¡-¬®-ɏ]")
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
