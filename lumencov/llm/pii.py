@@ -7,6 +7,11 @@ or an @ can only be O, in training and in decoding; so the best path of a whole
 through O there, and the text is decoded exactly by Viterbi over the runs of other words
 between, many runs at a time in numpy. Spans of the CRF that touch no base span are added; base spans stay.
 
+Memory: features exist for BLOCK_WORDS words at a time. A longer run advances in blocks that hand on their Viterbi
+row, and keeps 25 bytes for each word (its bounds and back pointers). Time grows in proportion to a text's length.
+
+The labelled table, and the rows held out from it, are made from templates; a few texts labelled by hand are in the tests.
+
 Nulls: a null text is empty (no spans); a null doc_id is kept. Repeated rows are returned as often as
 they come. An empty table gives an empty result. Extra columns are ignored.
 """
@@ -16,6 +21,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import string
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -150,121 +157,264 @@ def labelled_table(rows: int = 1500, seed: int = 7) -> list[tuple[str, list[Span
 
 # --- words, features, runs ----------------------------------------------------------------------
 
+BLOCK_WORDS = 20_000
 _WORD = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
-_CORE = re.compile(r"[A-Za-z0-9(+@].*[A-Za-z0-9)@]|[A-Za-z0-9@]", re.S)
+_NEXT = re.compile(r"[^\S\n]+(\S+)")
+_FIRST = re.compile("[A-Za-z0-9(+@]")
+_LAST = re.compile("[A-Za-z0-9)@]")
+_SHAPE = str.maketrans({c: s for own, s in ((string.ascii_uppercase, "X"), (string.ascii_lowercase, "x"), (string.digits, "d")) for c in own})
+_DIGIT = str.maketrans(dict.fromkeys(string.digits, "d"))
+_AGAIN = re.compile(r"(.)\1+", re.S)
+
+
+class Run:
+    """Adjacent words, as offsets in their text."""
+
+    def __init__(self):
+        self.start, self.end = array("q"), array("q")
+
+    def add(self, start: int, end: int) -> None:
+        self.start.append(start)
+        self.end.append(end)
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def __iter__(self) -> Iterator[tuple[int, int]]:
+        return zip(self.start, self.end)
 
 
-def runs_of(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of adjacent words that hold a digit or an @."""
-    runs: list[list[tuple[int, int]]] = []
+def _begin(text: str, since: int, a: int, b: int) -> Run:
+    """A run from the word at a; a plain word before an @ that stands alone or begins a word belongs to it."""
+    run = Run()
+    if text[a] == "@":
+        gap = text[since:a]
+        body = gap.rstrip()
+        if body and len(body) < len(gap) and "\n" not in gap[len(body) :]:
+            run.add(since + len(body) - len(body.rsplit(None, 1)[-1]), since + len(body))
+    run.add(a, b)
+    return run
+
+
+def _close(text: str, run: Run) -> Run:
+    """A plain word after an @ that ends a word belongs to the run."""
+    if text[run.end[-1] - 1] == "@" and (m := _NEXT.match(text, run.end[-1])):
+        run.add(*m.span(1))
+    return run
+
+
+def iter_runs(text: str) -> Iterator[Run]:
+    """Runs of adjacent words that hold a digit or an @, one after the other."""
+    run, since = None, 0
     for m in _WORD.finditer(text):
-        if runs and (gap := text[runs[-1][-1][1] : m.start()]).isspace() and "\n" not in gap:
-            runs[-1].append(m.span())
-        else:
-            runs.append([m.span()])
-    out = []
-    for run in runs:  # a plain word before an @ that stands alone or begins a word, and one after, belong to the run
-        first, last = text[slice(*run[0])], text[slice(*run[-1])]
-        if first.startswith("@") and (m := re.search(r"(\S+)[^\S\n]+$", text[max(0, run[0][0] - 80) : run[0][0]])):
-            at = max(0, run[0][0] - 80) + m.start(1)
-            if not out or at >= out[-1][-1][1]:
-                run.insert(0, (at, at + len(m[1])))
-        if last.endswith("@") and (m := re.match(r"[^\S\n]+(\S{1,80})", text[run[-1][1] : run[-1][1] + 90])):
-            run.append((run[-1][1] + m.start(1), run[-1][1] + m.end(1)))
-        out.append(run)
-    return out
+        a, b = m.span()
+        if run is not None:
+            if (gap := text[run.end[-1] : a]).isspace() and "\n" not in gap:
+                run.add(a, b)
+                continue
+            yield _close(text, run)
+            since = run.end[-1]
+        run = _begin(text, since, a, b)
+    if run is not None:
+        yield _close(text, run)
+
+
+def runs_of(text: str) -> list[Run]:
+    return list(iter_runs(text))
 
 
 def _core(text: str, a: int, b: int) -> tuple[int, int]:
     """The word without punctuation around it."""
-    m = _CORE.search(text, a, b)
-    if not m:
+    first = _FIRST.search(text, a, b)
+    last = _LAST.search(text[a:b][::-1])
+    if not first or not last or b - last.end() < first.start():
         return a, b
-    a, b = m.span()
-    while b - a > 1 and text[a] == "(" and (text.count("(", a, b) > text.count(")", a, b) or (text[b - 1] == ")" and b - a > 7 and text.find(")", a, b) == b - 1)):
-        a, b = a + 1, b - (text[b - 1] == ")" and text.count("(", a, b) <= text.count(")", a, b))
-    while b - a > 1 and text[b - 1] == ")" and text.count(")", a, b) > text.count("(", a, b):
-        b -= 1
+    a, b = first.start(), b - last.start()
+    opened, closed = text.count("(", a, b), text.count(")", a, b)
+    while b - a > 1 and text[a] == "(" and (opened > closed or (text[b - 1] == ")" and b - a > 7 and closed == 1)):
+        both = text[b - 1] == ")" and opened <= closed
+        a, b, opened, closed = a + 1, b - both, opened - 1, closed - both
+    while b - a > 1 and text[b - 1] == ")" and closed > opened:
+        b, closed = b - 1, closed - 1
     return a, b
 
 
-def _places_in_fours(words: list[str], k: int) -> int:
-    """How many words of four digits stand right before this one, up to four; -1 for another word."""
-    fours = lambda w: len(w) == 4 and w.isdigit()
-    if not fours(words[k]):
-        return -1
-    n = 0
-    while n < 4 and k - n > 0 and fours(words[k - n - 1]):
-        n += 1
-    return n
-
-
-def features(text: str, run: list[tuple[int, int]]) -> list[list[str]]:
-    before = text[max(0, run[0][0] - 40) : run[0][0]].split()
-    after = text[run[-1][1] : run[-1][1] + 40].split()
-    clean = lambda w: re.sub(r"[^a-z]", "", w.lower())[:12]
-    cores = [_core(text, a, b) for a, b in run]
-    words = [text[a:b] for a, b in cores]
-    tails = [text[b:end][:2] for (_, b), (_, end) in zip(cores, run)]  # what closes a word
-    around = [clean(before[-1]) if before else "^", *("" for _ in words), clean(after[0]) if after else "$"]
-    out = []
-    for k, w in enumerate(words):
-        short = w[:64]
-        digits = [c for c in w if c in "0123456789"]
-        exact = re.sub("[A-Z]", "X", re.sub("[a-z]", "x", re.sub("[0-9]", "d", short)))
-        shape = re.sub(r"(.)\1+", r"\1", exact)
-        own = ["bias", f"shape={shape}", f"exact={exact if len(exact) <= 20 else ''}", f"digits={min(len(digits), 20)}", f"dots={min(w.count('.'), 4)}", f"colons={min(w.count(':'), 3)}", f"first={exact[:1]}", f"last={exact[-1:]}", f"at={'@' in w}"]
-        if len(digits) >= 16:
-            own.append(f"luhn={16 <= len(digits) <= 19 and luhn(''.join(digits))}")
-        if w.count(".") == 3 and all(p.isdigit() and len(p) < 5 for p in w.split(".")):
-            own.append(f"octets={all(int(p) < 256 for p in w.split('.'))}")
-        own += [f"closed={tails[k - 1] if k else ''}", f"closes={tails[k]}", f"opened={cores[k][0] > run[k][0]}", f"four={_places_in_fours(words, k)}"]
-        own += [f"before={around[k]}", f"after={around[k + 2]}", f"left={re.sub('[0-9]', 'd', words[k - 1])[:14] if k else ''}", f"right={re.sub('[0-9]', 'd', words[k + 1])[:14] if k + 1 < len(words) else ''}"]
-        out.append(own)
+def _short(word: str, most: int) -> str:
+    return word if len(word) <= most else "long"
+
+
+def _clean(word: str) -> str:
+    return _short("".join(c for c in word.lower() if "a" <= c <= "z"), 12)
+
+
+def _own_features(exact: str, word: str) -> list[str]:
+    """Of a word alone; `exact` is its shape, letter by letter."""
+    digits = exact.count("d")
+    own = [
+        "bias", f"shape={_AGAIN.sub(chr(92) + '1', exact)}", f"exact={exact if len(exact) <= 20 else ''}", f"digits={min(digits, 20)}", f"dots={min(exact.count('.'), 4)}", f"colons={min(exact.count(':'), 3)}", f"first={exact[:1]}", f"last={exact[-1:]}", f"at={'@' in exact}",
+    ]
+    return own + _value_features(exact, word)
+
+
+def _value_features(exact: str, word: str) -> list[str]:
+    """What the shape doesn't tell: check digits and ranges."""
+    out, digits = [], exact.count("d")
+    if digits >= 16:
+        out.append(f"luhn={digits <= 19 and luhn(''.join(c for c in word if c in string.digits))}")
+    if exact.count(".") == 3 and all(p and len(p) < 5 and p == "d" * len(p) for p in exact.split(".")):
+        out.append(f"octets={all(int(p) < 256 for p in word.split('.'))}")
     return out
 
 
+class Block:
+    """Words i to j of a run, with what their features need of the words around."""
+
+    def __init__(self, text: str, run: Run, i: int, j: int):
+        low, high = max(0, i - 4), min(len(run), j + 1)
+        cores = [_core(text, run.start[k], run.end[k]) for k in range(low, high)]
+        words = [text[a:b] for a, b in cores]
+        self.words = words[i - low : j - low]
+        self.exact = [w.translate(_SHAPE) for w in words]
+        neighbours = [_short(w, 14).translate(_DIGIT) for w in words]
+        closes = [text[b : min(run.end[low + k], b + 2)] for k, (_, b) in enumerate(cores)]
+        fours, n = [], 0  # words of four digits that stand right before, up to four; -1 for another word
+        for e in self.exact:
+            fours.append(min(n, 4) if e == "dddd" else -1)
+            n = n + 1 if e == "dddd" else 0
+        self.context = []
+        for k in range(i - low, j - low):
+            at = low + k
+            before = after = ""
+            if at == 0:
+                before = _clean(_word_before(text, run.start[0])) if run.start[0] else "^"
+            if at == len(run) - 1:
+                after = _clean(_word_after(text, run.end[-1]))
+            self.context.append((
+                f"closed={closes[k - 1] if at else ''}", f"closes={closes[k]}", f"opened={cores[k][0] > run.start[at]}", f"four={fours[k]}",
+                f"before={before}", f"after={after}", f"left={neighbours[k - 1] if at else ''}", f"right={neighbours[k + 1] if at + 1 < len(run) else ''}",
+            ))
+        self.exact = self.exact[i - low : j - low]
+
+
+_BACK = 64  # characters of a look to either side, doubled until a whole word is there
+
+
+def _word_before(text: str, at: int) -> str:
+    """The word that ends before `at`, '^' if there is none but white space; whole, and within its line or a line before."""
+    size = _BACK
+    while True:
+        part = text[max(0, at - size) : at].rstrip()
+        words = part.rsplit(None, 1)
+        if at <= size or len(words) > 1 or (part and part[0].isspace()):
+            return words[-1] if words else "^"
+        size *= 2
+
+
+def _word_after(text: str, at: int) -> str:
+    size = _BACK
+    while True:
+        part = text[at : at + size].lstrip()
+        words = part.split(None, 1)
+        if at + size >= len(text) or len(words) > 1 or (part and part[-1].isspace()):
+            return words[0] if words else "$"
+        size *= 2
+
+
+def features(text: str, run: Run) -> list[list[str]]:
+    block = Block(text, run, 0, len(run))
+    return [_own_features(e, w) + list(c) for e, w, c in zip(block.exact, block.words, block.context)]
+
+
 class Crf:
     """Weights of features by label, and of transitions; a run stands between two O."""
 
     def __init__(self, index: dict[str, int], emit: np.ndarray, move: np.ndarray):
         self.index, self.emit, self.move = index, emit, move
+        self.padded = np.vstack([emit, np.zeros((1, emit.shape[1]))])  # a row for features without a weight
+        self.known: dict[tuple, np.ndarray] = {}
+
+    def __reduce__(self):
+        return Crf, (self.index, self.emit, self.move)
 
     def scores(self, runs: list[list[list[str]]]) -> list[np.ndarray]:
         get = self.index.get
         return [np.array([self.emit[[k for f in word if (k := get(f)) is not None]].sum(axis=0) for word in run]) for run in runs]
 
+    def _own(self, exact: str, word: str) -> np.ndarray:
+        """Score of a word's own features; those of short shapes are kept, KNOWN of them at most."""
+        key = (exact, *_value_features(exact, word)) if len(exact) <= 32 else None
+        found = self.known.get(key)
+        if found is None:
+            found = self.scores([[_own_features(exact, word)]])[0][0]
+            if key is not None:
+                if len(self.known) >= KNOWN:
+                    self.known.clear()
+                self.known[key] = found
+        return found
+
+    def emissions(self, blocks: list[Block]) -> np.ndarray:
+        """Scores by label of the words of blocks, one after the other."""
+        none, get = len(self.emit), self.index.get
+        own = [self._own(e, w) for b in blocks for e, w in zip(b.exact, b.words)]
+        around = np.array([[get(f, none) for f in c] for b in blocks for c in b.context], np.int64)
+        return np.array(own) + self.padded[around].sum(axis=1)
+
     def viterbi(self, runs: list[list[list[str]]]) -> list[list[int]]:
-        """Best labels of each run; the runs of a batch advance together, longest first, one word at a time."""
-        if not runs:
-            return []
+        """Best labels of each run of feature lists."""
         given = self.scores(runs)
-        order = sorted(range(len(runs)), key=lambda k: -len(given[k]))
-        lengths = np.array([len(given[k]) for k in order])
-        best = np.stack([given[k][0] for k in order]) + self.move[0]
+        return [p.tolist() for p in self.decode(np.concatenate(given), [len(g) for g in given])] if runs else []
+
+    def decode(self, scores: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
+        """Best labels of runs that stand one after the other; they advance together, longest first, one word at a time."""
+        sizes = np.array(lengths)
+        begin = np.cumsum(sizes) - sizes
+        order = np.argsort(-sizes, kind="stable")
+        begin, sizes = begin[order], sizes[order]
+        best = scores[begin] + self.move[0]
         back = []
-        for t in range(1, int(lengths[0])):
-            n = int((lengths > t).sum())
+        for t in range(1, int(sizes[0])):
+            n = int(np.searchsorted(-sizes, -t, side="left"))
             both = best[:n, :, None] + self.move[None]
-            back.append(both.argmax(axis=1))
-            best[:n] = both.max(axis=1) + np.stack([given[k][t] for k in order[:n]])
-        last = (best + self.move[:, 0]).argmax(axis=1)
-        out: list[list[int]] = [[]] * len(runs)
-        for i, k in enumerate(order):
-            path = [int(last[i])]
-            for t in range(len(given[k]) - 2, -1, -1):
-                path.append(int(back[t][i, path[-1]]))
-            out[k] = path[::-1]
-        return out
-
-
-def _spans_of(text: str, run: list[tuple[int, int]], path: list[int]) -> list[Span]:
+            back.append(both.argmax(axis=1).astype(np.int8))
+            best[:n] = both.max(axis=1) + scores[begin[:n] + t]
+        label = (best + self.move[:, 0]).argmax(axis=1)
+        paths = np.zeros(len(scores), np.int8)
+        for t in range(int(sizes[0]) - 1, -1, -1):
+            n = int(np.searchsorted(-sizes, -t, side="left"))
+            paths[begin[:n] + t] = label[:n]
+            if t:
+                label[:n] = back[t - 1][np.arange(n), label[:n]]
+        return np.split(paths, np.cumsum(np.array(lengths))[:-1])
+
+    def decode_long(self, text: str, run: Run) -> np.ndarray:
+        """Best labels of one long run, in blocks."""
+        back, best = np.zeros((len(run), len(LABELS)), np.int8), None
+        for i in range(0, len(run), BLOCK_WORDS):
+            scores = self.emissions([Block(text, run, i, min(i + BLOCK_WORDS, len(run)))])
+            for t in range(len(scores)):
+                if best is None:
+                    best = scores[0] + self.move[0]
+                else:
+                    both = best[:, None] + self.move
+                    back[i + t] = both.argmax(axis=0)
+                    best = both.max(axis=0) + scores[t]
+        path = np.zeros(len(run), np.int8)
+        label = int((best + self.move[:, 0]).argmax())
+        for t in range(len(run) - 1, -1, -1):
+            path[t] = label
+            label = int(back[t, label])
+        return path
+
+
+#: Scores of shapes that a worker keeps.
+KNOWN = 50_000
+
+
+def _spans_of(text: str, run: Run, path: np.ndarray) -> list[Span]:
     out: list[list] = []
-    for (a, b), label in zip(run, path):
-        if not label:
-            continue
-        kind, begins = KINDS[(label - 1) // 2], (label - 1) % 2 == 0
-        a, b = _core(text, a, b)
+    for k in np.flatnonzero(np.asarray(path)).tolist():
+        kind, begins = KINDS[(int(path[k]) - 1) // 2], int(path[k]) % 2 == 1
+        a, b = _core(text, run.start[k], run.end[k])
         if begins or not out or out[-1][0] != kind:
             out.append([kind, a, b])
         else:
@@ -294,13 +444,15 @@ def train(table: list[tuple[str, list[Span]]], rounds: int = 60, decay: float =
                 seen = own
             runs.append(features(text, run))
             gold.append(path)
+    order = sorted(range(len(runs)), key=lambda k: -len(runs[k]))  # longest first: at each place the runs that reach it come first
+    runs, gold = [runs[k] for k in order], [gold[k] for k in order]
     counts: dict[str, int] = {}
     for run in runs:
         for word in run:
             for f in word:
                 counts[f] = counts.get(f, 0) + 1
     index = {f: i for i, f in enumerate(sorted(f for f, n in counts.items() if n >= 3))}
-    n_f, n_l, n, t_max = len(index), len(LABELS), len(runs), max(map(len, runs))
+    n_f, n_l, n, t_max = len(index), len(LABELS), len(runs), len(runs[0])
     rows = [(i, t, index[f]) for i, run in enumerate(runs) for t, word in enumerate(run) for f in word if f in index]
     at = np.array([i * t_max + t for i, t, _ in rows])
     which = np.array([f for _, _, f in rows])
@@ -309,6 +461,7 @@ def train(table: list[tuple[str, list[Span]]], rounds: int = 60, decay: float =
     by_cell = np.argsort(at, kind="stable")
     used, cell_edges = np.unique(at[by_cell], return_index=True)
     lengths = np.array([len(r) for r in runs])
+    reach = [int((lengths > t).sum()) for t in range(t_max)] + [0]  # runs that have a word t
     mask = np.arange(t_max)[None] < lengths[:, None]
     y = np.zeros((n, t_max), np.int64)
     for i, path in enumerate(gold):
@@ -331,19 +484,22 @@ def train(table: list[tuple[str, list[Span]]], rounds: int = 60, decay: float =
         forward, backward = np.zeros_like(e), np.zeros_like(e)
         forward[:, 0] = m[0] + e[:, 0]
         for t in range(1, t_max):
-            forward[:, t] = np.where(mask[:, t, None], _lse(forward[:, t - 1][:, :, None] + m[None], 1) + e[:, t], forward[:, t - 1])
+            k = reach[t]
+            forward[:k, t] = _lse(forward[:k, t - 1][:, :, None] + m[None], 1) + e[:k, t]
         end = m[:, 0]
         log_z = _lse(forward[np.arange(n), lengths - 1] + end, 1)
-        backward[:, t_max - 1] = end
-        for t in range(t_max - 2, -1, -1):
-            backward[:, t] = np.where(mask[:, t + 1, None], _lse(m[None] + (e[:, t + 1] + backward[:, t + 1])[:, None, :], 2), end)
-        p = np.exp(forward + backward - log_z[:, None, None]) * mask[:, :, None]
+        for t in range(t_max - 1, -1, -1):
+            k = reach[t + 1]
+            backward[k : reach[t], t] = end
+            if k:
+                backward[:k, t] = _lse(m[None] + (e[:k, t + 1] + backward[:k, t + 1])[:, None, :], 2)
+        p = np.where(mask[:, :, None], np.exp(np.minimum(forward + backward - log_z[:, None, None], 0)), 0)
         expected = np.zeros((n_l, n_l))
         expected[0] += p[:, 0].sum(axis=0)
         expected[:, 0] += p[np.arange(n), lengths - 1].sum(axis=0)
         for t in range(1, t_max):
-            on = mask[:, t]
-            pair = forward[on, t - 1][:, :, None] + m[None] + (e[on, t] + backward[on, t])[:, None, :] - log_z[on, None, None]
+            k = reach[t]
+            pair = forward[:k, t - 1][:, :, None] + m[None] + (e[:k, t] + backward[:k, t])[:, None, :] - log_z[:k, None, None]
             expected += np.exp(pair).sum(axis=0)
         by_word = (truth - p).reshape(-1, n_l)
         grad = np.zeros((n_f, n_l))
@@ -369,21 +525,35 @@ def default_model() -> Crf:
 
 def find_all(texts: list[str], model: Crf) -> list[tuple[list[Span], list[Span]]]:
     """For each text its base spans and all spans, by kind as listed, then start."""
-    out, runs, owners = [], [], []
-    for k, text in enumerate(texts):
-        out.append((base_spans(text), []))
-        if _ANY.search(text):
-            for run in runs_of(text):
-                runs.append(run)
-                owners.append(k)
+    out = [base_spans(text) for text in texts]
     extra: list[list[Span]] = [[] for _ in texts]
-    for at in range(0, len(runs), 20_000):
-        own, who = runs[at : at + 20_000], owners[at : at + 20_000]
-        for run, k, path in zip(own, who, model.viterbi([features(texts[k], run) for run, k in zip(own, who)])):
-            if any(path):
-                extra[k] += _spans_of(texts[k], run, path)
+    held: list[tuple[int, Run]] = []
+    words = 0
+
+    def decode() -> None:
+        scores = model.emissions([Block(texts[k], run, 0, len(run)) for k, run in held])
+        for (k, run), path in zip(held, model.decode(scores, [len(run) for _, run in held])):
+            if path.any():
+                extra[k].extend(_spans_of(texts[k], run, path))
+        held.clear()
+
+    for k, text in enumerate(texts):
+        if not _ANY.search(text):
+            continue
+        for run in iter_runs(text):
+            if len(run) > BLOCK_WORDS // 4:
+                path = model.decode_long(text, run)
+                extra[k] += _spans_of(text, run, path)
+                continue
+            held.append((k, run))
+            words += len(run)
+            if words >= BLOCK_WORDS:
+                decode()
+                words = 0
+    if held:
+        decode()
     done = []
-    for (base, _), more in zip(out, extra):
+    for base, more in zip(out, extra):
         taken = sorted((a, b) for _, a, b in base)
         free, i, reach = [], 0, 0
         for s in sorted(more, key=lambda s: s[1]):
@@ -401,7 +571,7 @@ def joined(spans: list[Span]) -> str:
 
 
 def find_pii(docs: DataFrame, model: Crf | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """A row for each document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans (of base and method)."""
     model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,10 +579,10 @@ def find_pii(docs: DataFrame, model: Crf | None = None, id_col: str = "doc_id",
             found = find_all(batch.column(1).to_pylist(), model)
             counts = [pa.array([sum(s[0] == kind for s in base) for base, _ in found], pa.int64()) for kind in KINDS]
             digests = pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, pa.array([joined(all_) for _, all_ in found], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, pa.array([joined(all_) for _, all_ in found], pa.string()), pa.array([len(all_) for _, all_ in found], pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), common.whole_text(text_col).alias("text"))
-    return common.map_arrow(own, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return common.map_arrow(own, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

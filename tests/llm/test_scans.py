@@ -90,6 +90,89 @@ def test_crf_adds_and_never_takes_away():
     assert pii.find_all([clean], pii.default_model())[0] == ([], [])
 
 
+_PLAIN = st.lists(st.sampled_from(["4111", "1111", "12", "@", "@x", "joe@", "(212)", "555-0100", "a.b", "1.2.3.4", "1.2.3.²", "plain", "((-", "x" * 300, "9" * 17, "\n", "(1)", "+44"]), max_size=40).map(" ".join)
+
+
+@settings(max_examples=150, deadline=None)
+@given(_PLAIN)
+def test_blocks_of_a_run_score_and_decode_alike(text):
+    model, old = pii.default_model(), pii.BLOCK_WORDS
+    for run in pii.runs_of(text):
+        lists = pii.features(text, run)
+        want = np.array([model.scores([lists])[0]])[0]
+        assert np.allclose(want, model.emissions([pii.Block(text, run, 0, len(run))]))
+        try:
+            pii.BLOCK_WORDS = 3
+            assert model.decode_long(text, run).tolist() == model.viterbi([lists])[0]
+        finally:
+            pii.BLOCK_WORDS = old
+
+
+def test_words_are_taken_whole_at_any_length():
+    """No window around an @: a word of 10,000 letters before or after it belongs to the run."""
+    long = "x" * 10_000
+    (run,) = pii.runs_of(f"see {long} @ example.com")
+    assert list(run) == [(4, 10_004), (10_005, 10_006), (10_007, 10_018)]
+    (run,) = pii.runs_of(f"bob@ {long} end")
+    assert list(run) == [(0, 4), (5, 10_005)]
+    base, all_ = pii.find_all([f"mail {long} @ example.com now"], pii.default_model())[0]
+    assert not base and all(a in (0, 5) or a > 10_000 for _, a, _ in all_)
+    near = pii.features("y" * 5000 + " 12 " + "z" * 5000, pii.runs_of("y" * 5000 + " 12 " + "z" * 5000)[0])[0]
+    assert "before=long" in near and "after=long" in near
+
+
+def test_memory_of_a_long_run_is_bounded():
+    """12 MB of numbers, one run of 2,000,000 words, in a process of its own: under 600 MB more."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+from lumencov.llm import pii
+model = pii.default_model()
+text = " ".join(["12345"] * 2_000_000)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+pii.find_all([text], model)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600)
+    assert int(done.stdout) < 600_000, done.stderr
+
+
+#: Texts labelled by hand: (text, strings that are personal data).
+BY_HAND = [
+    ("Please write to maria.lopez@uni-koeln.de before Friday.", ["maria.lopez@uni-koeln.de"]),
+    ("Reach our desk on +49 30 901820 or drop by room 12.", ["+49 30 901820"]),
+    ("Her mobile is (415) 555-0132, the office closes at 17:30.", ["(415) 555-0132"]),
+    ("Server 192.168.10.4 went down at 03:12 on 2021-05-14.", ["192.168.10.4"]),
+    ("The card 4111 1111 1111 1111 was declined twice in 2019.", ["4111 1111 1111 1111"]),
+    ("Contact: j_smith99@mail.example.com, phone 212-555-0199.", ["j_smith99@mail.example.com", "212-555-0199"]),
+    ("Chapter 7 has 42 pages and was revised in 1998.", []),
+    ("We sold 1,200 units for $35.50 each, up 12% on 2020.", []),
+    ("Version 3.11.2 fixes bug #4821 from 12/05/2022.", []),
+    ("Tel 030.555.0143 rang at noon.", ["030.555.0143"]),
+    ("Ping 10.0.0.1 and then 10.0.0.254 from the lab.", ["10.0.0.1", "10.0.0.254"]),
+    ("my address is anna @ posteo.net if you need it", ["anna @ posteo.net"]),
+    ("Paid with 5500-0000-0000-0004 on the 3rd of May.", ["5500-0000-0000-0004"]),
+    ("ISBN 978-3-16-148410-0 is out of print since 2004.", []),
+    ("The score was 3-2 after 90 minutes before 45,000 fans.", []),
+    ("call 650.555.0111 (ask for Bo) or mail bo@corp.io", ["650.555.0111", "bo@corp.io"]),
+    ("Rooms 101-120 are on floor 1; rooms 201-220 on floor 2.", []),
+    ("Follow @dora_k or see issue 77.", []),
+    ("Fax +1 (503) 555-0188 still works.", ["+1 (503) 555-0188"]),
+    ("It was 25.4 mm wide, 10.16 cm tall and 3.5 kg heavy.", []),
+]
+
+
+def test_crf_on_texts_labelled_by_hand():
+    found = there = hit = 0
+    for text, want in BY_HAND:
+        _, all_ = pii.find_all([text], pii.default_model())[0]
+        got = [text[a:b] for _, a, b in all_]
+        found, there, hit = found + len(got), there + len(want), hit + len(set(got) & set(want))
+    assert hit / there >= 0.9 and hit / found >= 0.9, (hit, found, there)
+
+
 def test_network_on_held_out_findings():
     model = secrets_scan.default_model()
     x, y = secrets_scan._examples(secrets_scan.labelled_findings(600, seed=99))
@@ -122,13 +205,13 @@ def test_secrets_found_and_redacted():
 
 def test_queries(spark):
     docs = frames.documents(spark)
-    for made, find, n in ((pii.find_pii(docs), _pii, 7), (secrets_scan.find_secrets(docs), _secrets, 7)):
+    for made, find, n in ((pii.find_pii(docs), _pii, 8), (secrets_scan.find_secrets(docs), _secrets, 7)):
         rows = made.collect()
         assert len(rows) == len(frames.TEXTS) and len(made.columns) == n
         for r in rows:
             text = next(t or "" for d, t in frames.TEXTS if d == r.doc_id)
             want = find(text)
-            assert sum(v for k, v in r.asDict().items() if k.startswith("n_") and k != "n_confirmed") == len(want)
+            assert sum(v for k, v in r.asDict().items() if k.startswith("n_") and k not in ("n_confirmed", "n_spans")) == len(want)
             assert {f"{k}:{a}:{b}" for k, a, b in want} <= set(r.spans.split(","))
             import hashlib
 
