@@ -10,6 +10,11 @@ order of merges is the library's: lowest rank first, leftmost first. So a rank i
 places in each word, and at a word's next place when it comes up again: a pair of lower rank that the
 merge brought up goes before.
 
+The index covers a block of the corpus, not the corpus: to replay each word once for all, every occurrence of a word would have
+to be shuffled to its ids and back to its place, many times the text itself. A block ends at BLOCK_CHARS characters or at REPLAY_WORDS
+words that are new to the worker, which bounds memory also where hardly a word comes twice; texts over LONG_TEXT characters are
+read piece by piece. A word of over LONG_WORD bytes is replayed alone, over one heap of (rank, position), in n log n steps.
+
 Nulls: a null text is empty (no ids); a null doc_id is kept. Repeated rows are returned as
 often as they come. An empty table gives an empty result. Extra columns are ignored.
 """
@@ -34,8 +39,10 @@ from pyspark.sql import functions as F
 from . import common
 from .encoder import evenly_spaced
 
-#: Pieces and chunks that a worker keeps; words replayed at once; characters of texts taken at once.
+#: Pieces and chunks that a worker keeps; new words of a block; characters of a block.
 CACHE_WORDS, REPLAY_WORDS, BLOCK_CHARS = 300_000, 400_000, 16 << 20
+#: Bytes of a word, and characters of a text, beyond which it is taken alone.
+LONG_WORD, LONG_TEXT = 512, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -56,7 +63,7 @@ class MergeReplay:
                     pairs[a << 32 | b] = rank
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ranks = np.array([pairs[k] for k in sorted(pairs)], np.int64)
-        self.split = regex.compile(pattern).findall
+        self.split, self.pieces_of = regex.compile(pattern).findall, regex.compile(pattern).finditer
         self.cache: dict[str, bytes] = {}  # of pieces
         self.chunks: dict[str, bytes] = {}  # of what stands between two spaces, with the first of them
         self.cache_words = cache_words
@@ -70,8 +77,11 @@ class MergeReplay:
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word."""
         whole = [self.ranks.get(w) for w in words]
-        rest = [k for k, w in enumerate(whole) if w is None and words[k]]
+        rest = [k for k, w in enumerate(whole) if w is None and 0 < len(words[k]) <= LONG_WORD]
         out: list[list[int]] = [[w] if w is not None else [] for w in whole]
+        for k, w in enumerate(words):
+            if len(w) > LONG_WORD and whole[k] is None:
+                out[k] = self.replay_long(w)
         if not rest:
             return out
         data = np.frombuffer(b"".join(words[k] for k in rest), np.uint8)
@@ -139,6 +149,37 @@ class MergeReplay:
             out[k] = listed[x:y]
         return out
 
+    def replay_long(self, word: bytes) -> list[int]:
+        """Ids of one word; the index is a heap of (rank, position), and a merge enters its two new pairs."""
+        symbol = array("i", self.of_byte[np.frombuffer(word, np.uint8)].tolist())
+        n = len(symbol)
+        after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        first = self._ranks_of(np.array(symbol[:-1], np.int64), np.array(symbol[1:], np.int64))
+        pair = array("i", [*first.tolist(), -1])  # rank of the pair that begins at each place
+        places = np.flatnonzero(first >= 0)
+        heap = ((first[places] << 32) | places).tolist()
+        heapq.heapify(heap)
+        rank_of, text_of = self.ranks.get, self.bytes_of
+        while heap:
+            top = heapq.heappop(heap)
+            rank, p = top >> 32, top & 0xFFFFFFFF
+            if pair[p] != rank:
+                continue
+            q = after[p]
+            r, b = after[q], before[p]
+            symbol[p], symbol[q], pair[q], after[p] = rank, -1, -1, r
+            if r < n:
+                before[r] = p
+            for x, y in ((p, r), (b, p)):
+                if x >= 0 and y < n:
+                    new = rank_of(text_of[symbol[x]] + text_of[symbol[y]], -1)
+                    pair[x] = new
+                    if new >= 0:
+                        heapq.heappush(heap, new << 32 | x)
+                elif x >= 0:
+                    pair[x] = -1
+        return [x for x in symbol if x >= 0]
+
     def _known(self, pieces: list[list[str]]) -> list[bytes]:
         """Ids of lists of pieces."""
         missing = list(set().union(*pieces).difference(self.cache))
@@ -148,28 +189,57 @@ class MergeReplay:
         get = self.cache.__getitem__
         return [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in pieces]
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """Each text's ids.
-
-        Where single spaces stand between other characters, no piece crosses from before a space to it, so the
-        chunks between spaces are looked up; other texts go by their pieces.
-        """
+    def _trim(self) -> None:
         for kept in (self.cache, self.chunks):
             if len(kept) > self.cache_words:
                 early = list(islice(kept.items(), self.cache_words // 2))
                 kept.clear()
                 kept.update(early)
-        heads, tails = [], []
+
+    def _block(self, heads: list[list[str]], tails: list[list[str]], missing: set[str]) -> Iterator[bytes]:
+        new = list(missing)
+        found = self._known([*heads, *[[" " + c] if c.isalpha() else self.split(" " + c) for c in new]])
+        self.chunks.update(zip(new, found[len(heads) :]))
+        get = self.chunks.__getitem__
+        for raw, tail in zip(found, tails):
+            yield raw + b"".join(map(get, tail))
+        self._trim()
+
+    def encode_raw(self, texts: list[str]) -> Iterator[bytes]:
+        """Each text's ids, as unsigned 32-bit integers.
+
+        Where single spaces stand between other characters, no piece crosses from before a space to it, so the
+        chunks between spaces are looked up; other texts go by their pieces.
+        """
+        self._trim()
+        heads, tails, missing, loose = [], [], set(), 0
         for t in texts:
+            if len(t) > LONG_TEXT:
+                yield from self._block(heads, tails, missing)
+                heads, tails, missing, loose = [], [], set(), 0
+                yield self._long(t)
+                continue
             head, *tail = t.split(" ") if evenly_spaced(t) else (t,)
             heads.append(self.split(head))
             tails.append(tail)
-        missing = list(set().union(*tails).difference(self.chunks))
-        found = self._known([*heads, *[[" " + c] if c.isalpha() else self.split(" " + c) for c in missing]])
-        self.chunks.update(zip(missing, found[len(texts) :]))
-        get = self.chunks.__getitem__
-        for raw, tail in zip(found, tails):
-            yield np.frombuffer(raw + b"".join(map(get, tail)), "<u4").tolist()
+            missing.update(set(tail).difference(self.chunks))
+            loose += len(heads[-1])
+            if len(missing) + loose >= REPLAY_WORDS:
+                yield from self._block(heads, tails, missing)
+                heads, tails, missing, loose = [], [], set(), 0
+        yield from self._block(heads, tails, missing)
+
+    def _long(self, text: str) -> bytes:
+        out, pieces = [], self.pieces_of(text)
+        while part := [m[0] for m in islice(pieces, LONG_TEXT // 8)]:
+            out += self._known([part])
+            self._trim()
+        return b"".join(out)
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        """Each text's ids."""
+        for raw in self.encode_raw(texts):
+            yield np.frombuffer(raw, "<u4").tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -198,16 +268,21 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = replayer(ranks, pattern)
         def answer(doc_ids: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
-            for i, rows in _in_parts(code.encode(texts), 512):
+            for i, rows in _in_parts(code.encode_raw(texts), 512):
                 n, said, back, ids_out, text_out = [], [], [], [], []
-                for listed in rows:
-                    decoded = code.decode(listed)
-                    n.append(len(listed))
-                    said.append(hashlib.sha256(code.in_decimal(listed).encode()).hexdigest())
-                    back.append(hashlib.sha256(decoded).hexdigest())
+                for raw in rows:
+                    ids = np.frombuffer(raw, "<u4")
+                    decimal, decoded = hashlib.sha256(), hashlib.sha256()
+                    for at in range(0, len(ids), 1 << 16):
+                        listed = ids[at : at + (1 << 16)].tolist()
+                        decimal.update(("," * (at > 0) + code.in_decimal(listed)).encode())
+                        decoded.update(code.decode(listed))
+                    n.append(len(ids))
+                    said.append(decimal.hexdigest())
+                    back.append(decoded.hexdigest())
                     if keep_ids:
-                        ids_out.append(listed)
-                        text_out.append(decoded.decode("utf-8", "replace"))
+                        ids_out.append(ids.tolist())
+                        text_out.append(code.decode(ids.tolist()).decode("utf-8", "replace"))
                 columns = {"doc_id": pa.array(doc_ids[i : i + len(n)], pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(said, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
                 if keep_ids:
                     columns |= {"ids": pa.array(ids_out, pa.list_(pa.int32())), "decoded": pa.array(text_out, pa.string())}

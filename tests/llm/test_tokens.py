@@ -89,6 +89,31 @@ def test_replay_where_a_merge_brings_up_a_lower_rank(tmp_path):
         for k in range(2**n):
             word = "".join("ab"[k >> i & 1] for i in range(n))
             assert code.replay([word.encode()])[0] == own.encode_ordinary(word), word
+            if word.encode() not in ranks:
+                assert code.replay_long(word.encode()) == own.encode_ordinary(word), word
+
+
+@pytest.mark.parametrize("word", ["ab" * 500_000, "a" * 1_000_000, "".join(np.random.default_rng(5).choice(list("etaoinsr"), 1_000_000))], ids=["ab", "a", "letters"])
+def test_replay_of_a_word_of_a_megabyte(word):
+    """In n log n steps; tiktoken agrees on a word of 20,000 (its own time grows with the square), and the bytes come back."""
+    import time
+
+    import tiktoken
+
+    code = merge_replay.replayer(MULTI, public_tokenizers.PATTERN)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=code.ranks, special_tokens={})
+    assert code.replay([word[:20_000].encode()])[0] == own.encode_ordinary(word[:20_000])
+    began = time.time()
+    (ids,) = code.encode([word])
+    assert code.decode(ids) == word.encode() and time.time() - began < 60
+
+
+@pytest.mark.parametrize("limit", ["LONG_WORD", "LONG_TEXT", "REPLAY_WORDS"])
+def test_limits_of_a_block_change_nothing(library, limit, monkeypatch):
+    texts = [frames.text_of(t) for _, t in frames.TEXTS] + ["abab" * 40 + " x", "lower ranks come up: " + "ingtheing" * 30]
+    monkeypatch.setattr(merge_replay, limit, 8)
+    code = merge_replay.MergeReplay(MULTI, public_tokenizers.PATTERN, cache_words=50)
+    assert list(code.encode(texts)) == [library.encode_ordinary(t) for t in texts]
 
 
 def test_replay_query(spark, library):
