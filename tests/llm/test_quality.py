@@ -1,9 +1,12 @@
 import math
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lumencov.llm import quality
 
@@ -36,6 +39,37 @@ def test_grams():
     assert quality.grams(b"xabc")[1] == quality.grams(b"abc")[0]
 
 
+def test_a_text_over_a_mebibyte_by_a_plain_loop():
+    """Every n-gram once, also at the edges of the parts it is read in; counts as the contract says."""
+    r = np.random.default_rng(1)
+    text = " ".join("".join(r.choice(list("abcdeé#"), 5)) for _ in range(190_000)) + "\n" + "same line\n" * 3
+    raw = text.encode()
+    assert len(raw) > 1 << 20
+    whole = np.bincount(quality.grams(raw), minlength=quality.BUCKETS)
+    assert (sum(np.bincount(p, minlength=quality.BUCKETS) for p in quality.gram_parts(raw)) == whole).all()
+    plain = np.zeros(quality.BUCKETS, np.int64)
+    for n in quality.ORDERS:
+        for i in range(len(raw) - n + 1):
+            code = (int.from_bytes(raw[i : i + n], "big") + n) * 2654435761 % 2**32
+            plain[code >> 18] += 1
+    assert (plain == whole).all() and whole.sum() == 2 * len(raw) - 5
+    ratio = r.normal(size=quality.BUCKETS)
+    assert quality.QualityModel(ratio, 0.0).score(raw) == pytest.approx(float((ratio * whole).sum() / whole.sum()), abs=1e-7)
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    triples = Counter(zip(words, words[1:], words[2:]))
+    covered = {i + k for i, t in enumerate(zip(words, words[1:], words[2:])) if triples[t] > 1 for k in range(3)}
+    assert quality.rule_counts(raw) == (len(words), sum(map(len, words)), text.count("#"), 2, len(covered))
+
+
+def test_columns_named_like_helpers_and_equal_ids(spark):
+    rows = [(d, t, q) for d, t, q in _rows()]
+    frame = spark.createDataFrame([(d % 7 if d >= 300 else d, t, "x", "y") for d, t, _ in rows], "doc_id long, text string, __verdict string, kept string").withColumn("row", F.lit(1)).withColumn("score", F.lit("s"))
+    labels = spark.createDataFrame([(d, q, 0) for d, _, q in rows if q is not None], "doc_id long, quality int, toxic int")
+    kept = quality.keep_good(frame, labels)
+    assert kept.columns == frame.columns and {r["kept"] for r in kept.collect()} == {"y"} and {r["score"] for r in kept.collect()} == {"s"}
+    assert quality.keep_good(frame.limit(0), labels).count() == 0
+
+
 def test_threshold():
     assert quality.threshold_from([(10, 0, 50), (20, 100, 0)]) == quality.SCORE_LEAST + 11 * quality.SCORE_STEP
     assert quality.threshold_from([(10, 5, 0)]) == -math.inf and quality.threshold_from([]) == -math.inf
@@ -88,8 +122,11 @@ def test_awkward_documents_and_no_labels(spark):
     rows = quality.quality_report(frames.documents(spark), none).collect()
     assert len(rows) == len(frames.TEXTS)
     for r in rows:
-        if r.doc_id != 4:
-            assert r.n_words == _counts(next(t or "" for d, t in frames.TEXTS if d == r.doc_id))[0]
+        text = next(t or "" for d, t in frames.TEXTS if d == r.doc_id)
+        if r.doc_id == 4:  # every word but the last two stands in a triple of equal words
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (30_002, 120_006, 0, 0, 30_000)
+        else:
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == _counts(text)
     assert quality.quality_report(frames.empty(spark), none).count() == 0
     some = spark.createDataFrame([(0, 1, 0), (0, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
     assert quality.keep_good(frames.documents(spark), some).columns == frames.documents(spark).columns
