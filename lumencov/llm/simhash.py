@@ -15,9 +15,14 @@ A task returns a spanning forest of the links it found, not all pairs.
 
 Components: large-star and small-star rounds over the forests, each written to the shared folder.
 
+Wherever rows meet their group (a key of a table, a star's hub, a component, the copies of a fingerprint), the group is dealt
+over salted keys. A key of n fingerprints costs n * n / 2 comparisons, 64 at a time; they are spread, not saved.
+
 Nulls: a null text is empty (fingerprint zero, linked like any other); rows with a null doc_id
 get a fingerprint and their component, but never name one unless all of it is null. Repeated rows
-are returned as often as they come. An empty table gives an empty result. Extra columns are ignored.
+are returned as often as they come. An empty table gives an empty result. Extra columns are ignored; the filter keeps them, whatever
+their names. Of a component it keeps the document of the least doc_id (rows without one come last), and of that id the one of the
+least text hash: one document, and its repeated rows if the table has it more than once.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -59,15 +64,20 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    """doc_id, fp (the fingerprint as a signed long) and text_hash (64 bits), which tells texts of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2)], ["doc_id", "fp", "text_hash"])
+
+    own = docs.select(*_key(id_col, text_col))
+    return common.map_arrow(own, run, "doc_id long, fp long, text_hash long")
+
 
-    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), common.whole_text(text_col).alias("text"))
-    return common.map_arrow(own, run, "doc_id long, fp long")
+def _key(id_col: str, text_col: str) -> list[Column]:
+    text = common.whole_text(text_col)
+    return [F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")]
 
 
 def tables_for(count: int, radius: int = RADIUS, wanted: int = 64) -> list[int]:
@@ -174,8 +184,7 @@ def find_links(distinct: DataFrame, count: int, radius: int = RADIUS, chunk: int
     masks = [m - (1 << 64) if m >> 63 else m for m in tables_for(count, radius)]
     table = F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("t", "mask")
     keyed = distinct.select("fp", table).select("fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    with_n = keyed.join(sizes, ["t", "key"])
+    with_n = common.with_group(keyed, ["t", "key"], "fp", F.count(F.lit(1)), F.sum, "n").where("n > 1")
     chunks = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
     own = with_n.select("t", "key", "fp", chunks.alias("c"), F.pmod(F.xxhash64("fp", "t"), chunks).cast("int").alias("own"))
     dealt = own.select("t", "key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
@@ -231,10 +240,8 @@ def connected(edges: DataFrame, folder: str, most_rounds: int = 60) -> DataFrame
     mark = None
     for k in range(most_rounds):
         both = edges.select(F.col("u").alias("n"), F.col("v").alias("x")).unionAll(edges.select(F.col("v").alias("n"), F.col("u").alias("x")))
-        least = both.groupBy("n").agg(F.min("x").alias("m")).select("n", F.least("n", "m").alias("m"))
-        large = both.join(least, "n").where("x > n").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        large = common.with_group(both, ["n"], "x", F.min("x"), F.min, "m").where("x > n").select(F.col("x").alias("u"), F.least("n", "m").alias("v")).distinct()
+        small = common.with_group(large, ["u"], "v", F.min("v"), F.min, "m").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         edges = common.materialise(small, folder, f"round{k}")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
@@ -243,24 +250,38 @@ def connected(edges: DataFrame, folder: str, most_rounds: int = 60) -> DataFrame
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: doc_id, fingerprint, component_id."""
-    spark = docs.sparkSession
-    folder = common.shared_dir(spark)
+def _components(docs: DataFrame, radius: int, shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, text_hash) of each document, and (fp, first) of each fingerprint: the component's first document, as no_id, doc_id, text_hash."""
+    folder = common.shared_dir(docs.sparkSession)
     marked = common.materialise(fingerprints(docs, shingle, id_col, text_col), folder, "fingerprints")
-    distinct = common.materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), folder, "distinct")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    distinct = common.materialise(marked.groupBy("fp").agg(first.alias("least")), folder, "distinct")
     roots = connected(find_links(distinct.select("fp"), distinct.count(), radius), folder)
-    rooted = distinct.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = common.materialise(rooted, folder, "rooted")
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    components = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(components, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked, common.with_group(rooted, ["root"], "fp", F.min("least"), F.min, "first").select("fp", "first")
+
+
+def _with_first(marked: DataFrame, components: DataFrame) -> DataFrame:
+    """marked with its component's first document; the copies of a fingerprint are dealt over salted keys."""
+    salted = marked.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(common.salts(marked.sparkSession))).cast("int"))
+    cells = salted.select("fp", "salt").distinct().join(components, "fp")
+    return salted.join(cells, ["fp", "salt"])
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each document: doc_id, fingerprint, component_id."""
+    marked, components = _components(docs, radius, shingle, id_col, text_col)
+    return _with_first(marked, components).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each component stays, that with the least id; all columns."""
-    kept = near_duplicates(docs, id_col=id_col, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component stays, all columns."""
+    marked, components = _components(docs, radius, shingle, id_col, text_col)
+    mine = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    kept = _with_first(marked, components).where(mine).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    rows = docs.select(common.whole_row(), *_key(id_col, text_col)).drop("text")
+    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left_semi").select("row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,3 +147,49 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(frames.empty(spark)).count() == 0
     kept = simhash.drop_near_duplicates(frames.documents(spark))
     assert kept.columns == frames.documents(spark).columns
+
+
+def test_filters_decide_row_by_row(spark):
+    """Equal ids with different texts, columns named like helpers: each row stays or goes by its own text."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, "a", 0), (1, text, 1), (2, text, 2), (3, text + " eleven", 3), (1, "b c d", 4), (None, text, 5), (None, "zz", 6)]
+    names = ["doc_id", "text", "__kept_id"]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __kept_id long")
+    for name in ("row", "salt", "digest", "hash", "id", "first", "fp", "text_hash", "__verdict"):
+        frame = frame.withColumn(name, frame["__kept_id"])
+        names.append(name)
+    kept = exact_dedup.drop_exact_duplicates(frame)
+    assert kept.columns == names and sorted(r["__kept_id"] for r in kept.collect()) == [0, 2, 3, 4, 6]
+    kept = simhash.drop_near_duplicates(frame)
+    assert kept.columns == names
+    fps = [simhash.fingerprint(t) for _, t, _ in rows]
+    roots, want = _components(fps), []
+    for c in set(roots):
+        own = [i for i in range(len(rows)) if roots[i] == c]
+        least = min((rows[i][0] is None, rows[i][0] or 0) for i in own)
+        same = [i for i in own if (rows[i][0] is None, rows[i][0] or 0) == least]
+        want.append(same)
+    got = {r["__kept_id"] for r in kept.collect()}
+    assert len(got) == len(want) and all(len(got & set(same)) == 1 for same in want)
+
+
+def test_hot_groups_are_dealt_over_salts(spark):
+    """A group of 100,000 rows meets in as many places as there are salts, evenly."""
+    from pyspark.sql import functions as F
+
+    from lumencov.llm import common
+
+    rows = spark.range(100_000).select(F.lit(7).cast("long").alias("k"), F.col("id").alias("x"))
+    plan = common.with_group(rows, ["k"], "x", F.min("x"), F.min, "m")
+    assert plan.agg(F.min("m"), F.max("m"), F.count(F.lit(1))).first()[:] == (0, 0, 100_000)
+    salted = rows.groupBy("k", F.pmod(F.xxhash64("x"), F.lit(common.salts(spark))).alias("salt")).count().collect()
+    assert len(salted) == common.salts(spark) and max(r["count"] for r in salted) < 1.2 * 100_000 / len(salted)
+    assert not any(line.strip().startswith("Window [min(x") for line in plan._jdf.queryExecution().toString().splitlines())
+
+
+def test_a_text_of_100000_copies(spark):
+    from pyspark.sql import functions as F
+
+    frame = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit("the same text over and over").alias("text")).repartition(6)
+    first = simhash.near_duplicates(frame).groupBy("component_id", "fingerprint").count().collect()
+    assert [(r.component_id, r["count"]) for r in first] == [(0, 100_000)]
