@@ -56,3 +56,25 @@ def test_stages_by_brute_force(spark, tmp_path):
 def test_stages_are_the_operators_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "exact dedup", "SimHash near-dedup", "secret scans", "packing"]
     assert simhash.RADIUS == 4 and simhash.SHINGLE == 4
+
+
+def test_stages_keep_columns_named_like_helpers_and_empty_tables(spark, tmp_path):
+    path = str(tmp_path)
+    _tables(spark, path)
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for name in ("__kept_id", "__verdict", "row", "kept", "digest", "salt", "fp"):
+        docs = docs.withColumn(name, docs["doc_id"])
+    docs = docs.unionByName(docs.where("doc_id = 3"))  # a repeated row
+    some, none = docs, docs.limit(0)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        some, none = stage(spark, some, path), stage(spark, none, path)
+        assert some.columns == docs.columns and none.columns == docs.columns, name
+        some.write.parquet(f"{path}/some{k}")
+        some = spark.read.parquet(f"{path}/some{k}")
+        assert all(r["__kept_id"] == r.doc_id for r in some.collect()) and none.count() == 0
+        none = docs.limit(0)
+    assert corpus_pipeline.STAGES[4][1](spark, some, path).count() > 0 and corpus_pipeline.STAGES[4][1](spark, none, path).count() == 0
+    whole = tmp_path / "empty"
+    docs.limit(0).write.parquet(f"{whole}/documents.parquet")
+    spark.read.parquet(f"{path}/labels.parquet").limit(0).write.parquet(f"{whole}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(whole)).count() == 0
