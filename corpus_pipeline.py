@@ -1,4 +1,12 @@
-"""Corpus pipeline: quality rules, exact dedup, SimHash near-dedup, secret scans, packing."""
+"""Corpus pipeline: quality rules, exact dedup, SimHash near-dedup, secret scans, packing.
+
+Each stage but the last keeps the columns of documents, and any others, whatever their names.
+Nulls: a null text is empty; it fails the quality rules. A null doc_id stays null and counts as the least in exact dedup, as the last
+in near-dedup; a null source is a source of its own in packing.
+Empty texts fail the quality rules; very long ones go through every stage whole. Ties: of equal texts the largest doc_id stays, of a
+component the least doc_id, and of equal ids there the least text hash. Repeated rows (same id and text) share one verdict in every stage, so
+they stay or go together. Rows of one doc_id with different texts are decided each by its own text. Empty tables give an empty result.
+"""
 
 from __future__ import annotations
 
