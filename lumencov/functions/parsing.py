@@ -1,7 +1,8 @@
 """Column expressions that read the values of a report from JSON text.
 
-Slots of an array come as text (`slots`): a number as it stands, null as null, an array as its JSON. Strings are
-marked beforehand (`mark_strings`), so that "1" and 1 stay apart.
+Slots of an array come as text: a number as it stands, null as null, an array as its JSON, a string with a mark before it, so that
+"1" and 1 stay apart. They come from a VARIANT, of which a line is made once (`items`, `slot_of`), or from JSON text (`mark_strings`, `slots`).
+Parsers of arrays take the array's slots besides its text, where they are at hand.
 """
 
 from __future__ import annotations
@@ -25,6 +26,27 @@ def slots(json: Column) -> Column:
     return F.from_json(json, "array<string>")
 
 
+def items(value: Column) -> Column:
+    """A VARIANT's elements; null for anything but an array."""
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def slot_of(value: Column) -> Column:
+    """The text of a VARIANT that is a slot."""
+    text = F.to_json(value)
+    return F.when(text == "null", F.lit(None).cast("string")).when(text.startswith('"'), F.concat(F.lit(MARK), F.try_variant_get(value, "$", "string"))).otherwise(text)
+
+
+def slot_beside(value: Column, own: Column) -> Column:
+    """slot_of, where the slots of an array are at hand and its text isn't needed."""
+    return F.when(own.isNotNull(), F.lit("[")).otherwise(slot_of(value))
+
+
+def slots_of(value: Column) -> Column:
+    """Texts of a VARIANT's elements; null for anything but an array."""
+    return F.transform(items(value), slot_of)
+
+
 def string_of(slot: Column) -> Column:
     """The content of a slot that is a string; null for anything else."""
     return F.when(slot.startswith(MARK), F.substring(slot, F.lit(len(MARK) + 1), F.length(slot)))
@@ -35,14 +57,19 @@ def clamp_u32(x: Column) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x.cast("double"), F.lit(0.0)), F.lit(_LARGEST)).cast("long"))
 
 
+def is_number(slot: Column) -> Column:
+    """Of all JSON values only a number begins with a digit or a minus, as strings are marked."""
+    return (slot >= "-") & (slot < ":") & ~slot.endswith("y")  # some readers let -Infinity pass
+
+
 def number(slot: Column) -> Column:
     """The clamped value of a slot that is a number; null for anything else."""
-    return F.when(slot.rlike(_IS_NUMBER), clamp_u32(slot.try_cast("double")))
+    return F.when(is_number(slot), clamp_u32(slot.try_cast("double")))
 
 
 def kind_of(slot: Column) -> Column:
     """hits, branches or partial, by the form of a coverage value; null for anything else."""
-    return F.when(slot.rlike(_IS_NUMBER), "hits").when(slot.rlike(f"^{MARK}{_NUMBER}/{_NUMBER}$"), "branches").when(slot == "true", "partial")
+    return F.when(is_number(slot), "hits").when(slot.startswith(MARK) & slot.rlike(f"^{MARK}{_NUMBER}/{_NUMBER}$"), "branches").when(slot == "true", "partial")
 
 
 def coverage(slot: Column) -> Column:
@@ -80,30 +107,30 @@ def normalized(cov: Column, type_: Column) -> Column:
     )
 
 
-def complexity(slot: Column) -> Column:
+def complexity(slot: Column, own: Column | None = None) -> Column:
     """struct(paths, total, valid): a total alone, or [paths, total]; nothing is valid too."""
-    pair = F.when(slot.startswith("["), slots(slot))
+    pair = F.when(slot.startswith("["), slots(slot) if own is None else own)
     a, b = number(F.get(pair, 0)), number(F.get(pair, 1))
     both = (F.size(pair) == 2) & a.isNotNull() & b.isNotNull()
-    single = slot.rlike(_IS_NUMBER)
+    single = is_number(slot)
     found = F.when(single, F.struct(F.lit(None).cast("long").alias("paths"), number(slot).alias("total"), F.lit(True).alias("valid"))).when(both, F.struct(a.alias("paths"), b.alias("total"), F.lit(True).alias("valid")))
     nothing = lambda ok: F.struct(F.lit(None).cast("long").alias("paths"), F.lit(None).cast("long").alias("total"), F.lit(ok).alias("valid"))
     return F.when(slot.isNull(), nothing(True)).otherwise(F.coalesce(found, nothing(False)))
 
 
-def missing_branches(slot: Column) -> Column:
+def missing_branches(slot: Column, own: Column | None = None) -> Column:
     """struct(branch_format, branches, valid): lines, else block:branch pairs, else conditions; a list is all of one format."""
-    texts = F.transform(F.when(slot.startswith("["), slots(slot)), string_of)
+    texts = F.transform(F.when(slot.startswith("["), slots(slot) if own is None else own), string_of)
     every = lambda pattern: F.forall(texts, lambda t: F.coalesce(t.rlike(pattern), F.lit(False)))
     format_ = F.when(F.size(texts) == 0, "c").when(every(_IS_NUMBER), "l").when(every(f"^{_NUMBER}:{_NUMBER}$"), "bb").when(every(f"^{_NUMBER}(:jump)?$"), "c")
     part = lambda t: clamp_u32(t.try_cast("double")).cast("string")
-    clean = F.transform(texts, lambda t: F.when(t.rlike("^[0-9]{1,9}$") & ~t.rlike("^0[0-9]"), t).when(t.contains(":jump"), F.concat(part(F.substring_index(t, ":", 1)), F.lit(":jump"))).when(t.contains(":"), F.concat(part(F.substring_index(t, ":", 1)), F.lit(":"), part(F.substring_index(t, ":", -1)))).otherwise(part(t)))
+    clean = F.transform(texts, lambda t: F.when(t.rlike("^(?:0|[1-9][0-9]{0,8})$"), t).when(t.contains(":jump"), F.concat(part(F.substring_index(t, ":", 1)), F.lit(":jump"))).when(t.contains(":"), F.concat(part(F.substring_index(t, ":", 1)), F.lit(":"), part(F.substring_index(t, ":", -1)))).otherwise(part(t)))
     found = F.struct(format_.alias("branch_format"), F.when(format_.isNotNull(), clean).alias("branches"), format_.isNotNull().alias("valid"))
     nothing = F.struct(F.lit(None).cast("string").alias("branch_format"), F.lit(None).cast("array<string>").alias("branches"), F.lit(True).alias("valid"))
     return F.when(slot.isNull(), nothing).otherwise(found)
 
 
-def partial_spans(slot: Column) -> Column:
+def partial_spans(slot: Column, own: Column | None = None) -> Column:
     """struct(spans, valid): [start, end, coverage] each; hits are 0 unless the coverage is a hit count."""
 
     def span(x: Column) -> Column:
@@ -111,7 +138,16 @@ def partial_spans(slot: Column) -> Column:
         good = (F.size(x) == 3) & (a.isNull() | number(a).isNotNull()) & (b.isNull() | number(b).isNotNull()) & kind_of(c).isNotNull()
         return F.struct(number(a).alias("start_col"), number(b).alias("end_col"), F.coalesce(number(c), F.lit(0).cast("long")).alias("hits"), F.coalesce(good, F.lit(False)).alias("valid"))
 
-    spans = F.transform(F.transform(F.when(slot.startswith("["), slots(slot)), slots), span)
+    spans = F.transform(F.transform(F.when(slot.startswith("["), slots(slot)), slots) if own is None else own, span)
     found = F.struct(spans.alias("spans"), F.coalesce(F.forall(spans, lambda s: s["valid"]), F.lit(False)).alias("valid"))
     nothing = F.struct(F.lit(None).cast("array<struct<start_col: long, end_col: long, hits: long, valid: boolean>>").alias("spans"), F.lit(True).alias("valid"))
     return F.when(slot.isNull(), nothing).otherwise(found)
+
+
+def datapoint(parts: Column) -> Column:
+    """struct(session_index, labels, valid) of a datapoint's slots as VARIANTs: session, coverage, type, and labels that are strings or numbers."""
+    slot = lambda k: slot_of(F.get(parts, k))
+    labels = slots_of(F.get(parts, 3))
+    number_or_string = lambda x: F.coalesce(x.startswith(MARK) | x.rlike("^[0-9]+$"), F.lit(False))
+    good = (F.size(parts) == 4) & number(slot(0)).isNotNull() & kind_of(slot(1)).isNotNull() & coverage_type(slot(2)).isNotNull() & F.forall(labels, number_or_string)
+    return F.struct(number(slot(0)).alias("session_index"), labels.alias("labels"), F.coalesce(good, F.lit(False)).alias("valid"))

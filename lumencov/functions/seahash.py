@@ -33,5 +33,7 @@ def signed_id(name: str) -> int:
 
 @F.pandas_udf(LongType())
 def seahash_id(names: pd.Series) -> pd.Series:
-    """The signed id of a path or context name; null for null."""
-    return names.map(signed_id, na_action="ignore").astype("Int64")
+    """The signed id of a path or context name; null for null. Each distinct name of a batch is hashed once."""
+    codes, distinct = pd.factorize(names)
+    ids = pd.array([*map(signed_id, distinct), None], dtype="Int64")
+    return pd.Series(ids.take(codes))

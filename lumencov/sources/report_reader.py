@@ -1,15 +1,16 @@
 """Reads two-part reports, any number at once, into a store.
 
-A report is a JSON document of files and sessions and a chunks file. Both come as whole texts keyed by
-`report`; chunks are spread over the cluster as soon as the text is cut, and everything after is by line.
-Lines that break the grammar are kept apart (`errors`), or raise with fail_fast.
+A report is a JSON document of files and sessions and a chunks file. Documents come as whole texts keyed by `report`. Chunks
+files are read chunk by chunk (`read_chunks`): a file of any size is cut into splits that many tasks read, as long as one chunk fits a
+row; texts that are already in a frame are cut by `parse_chunks`. Everything after is by line.
+Lines and chunk headers that break the grammar are kept apart (`errors`), or raise with fail_fast.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
@@ -25,6 +26,25 @@ def read_texts(spark: SparkSession, path: str, report: Column | None = None) ->
     return own.select((F.col("path") if report is None else report).alias("report"), "value")
 
 
+def read_chunks(spark: SparkSession, path: str, report: Column | None = None) -> DataFrame:
+    """report, chunk_index, header (on the first chunk of a file that has one) and chunk of chunks files, read in splits.
+
+    A chunk's number is its place in its split and the chunks of the report's splits before; these counts, one row for each
+    split (a file's bytes over spark.sql.files.maxPartitionBytes), are broadcast. Files that `report` gives one name are parts of one
+    report, in the order of their paths.
+    """
+    name = F.col("path") if report is None else report
+    rows = spark.read.text(path, lineSep=CHUNK_END).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+    counts = rows.groupBy("path", "block").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("report", name)
+    before = Window.partitionBy("report").orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("path", "block", "report", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    numbered = rows.join(F.broadcast(starts), ["path", "block"]).select("report", (F.col("earlier") + F.col("row") - F.col("first")).alias("chunk_index"), "value")
+    at = F.when(F.col("chunk_index") == 0, F.instr("value", HEADER_END)).otherwise(0)
+    header = F.when(at > 0, F.substring("value", F.lit(1), at - 1))
+    body = F.when(at > 0, F.substring(F.col("value"), at + len(HEADER_END), F.length("value"))).otherwise(F.col("value"))
+    return numbered.select("report", "chunk_index", header.alias("header"), body.alias("chunk")).repartition("report", "chunk_index")
+
+
 # --- report JSON ---------------------------------------------------------------------------------
 
 
@@ -68,11 +88,12 @@ def split_header(texts: DataFrame) -> DataFrame:
 
 
 def parse_labels_index(texts: DataFrame) -> DataFrame:
-    """report, label and name of the header's label index; names must be strings."""
+    """report, label and name of the header's label index; names must be strings. `texts` are whole, or chunks with their headers."""
     parsed = F.try_parse_json("header")
     index = F.from_json(F.to_json(F.try_variant_get(parsed, "$.labels_index", "variant")), "map<string, variant>")
     name = F.when(F.schema_of_variant("v") == "STRING", F.try_variant_get("v", "$", "string"))
-    rows = split_header(texts).where("header IS NOT NULL").select("report", F.explode(index).alias("label", "v"))
+    headers = texts if "header" in texts.columns else split_header(texts)
+    rows = headers.where("header IS NOT NULL").select("report", F.explode(index).alias("label", "v"))
     return rows.select("report", "label", F.coalesce(name, F.raise_error(F.lit("a label's name must be a string"))).alias("name"))
 
 
@@ -89,33 +110,49 @@ def parse_report_lines(chunks: DataFrame) -> DataFrame:
     return lines.where((F.col("line_no") > 0) & (F.trim("raw") != "")).withColumn("line_no", F.col("line_no").cast("long"))
 
 
+def chunk_errors(chunks: DataFrame) -> DataFrame:
+    """Chunks that are neither empty nor begin with a JSON object on a line of its own: report, chunk_index, line_no 0, raw and error."""
+    first = F.substring_index("chunk", "\n", 1)
+    empty = F.col("chunk").rlike(rf"^\s*{EMPTY_CHUNK}\s*$")
+    header = F.coalesce(F.try_variant_get(F.try_parse_json(first), "$", "map<string, variant>").isNotNull(), F.lit(False))
+    return chunks.where(~empty & ~header).select("report", "chunk_index", F.lit(0).cast("long").alias("line_no"), first.alias("raw"), F.lit("malformed chunk header").alias("error"))
+
+
 def parse_line_sessions(lines: DataFrame) -> DataFrame:
     """A row for each session of each line, with its coverage normalized, and `error` where it breaks the grammar.
 
     Columns: report, chunk_index, line_no, place, session_index, coverage_type, hits, hit_branches, total_branches,
     hit_complexity_paths, total_complexity, branches (struct), partials (struct), labels (array), raw, error.
 
-    Most lines of a chunk read like others of it, so each distinct text of a chunk is parsed once, with the numbers
-    of its lines beside it. Chunks are whole in their partitions, so that this needs no shuffle.
+    Lines of a chunk often read like others of it, so each distinct text of a chunk is parsed once, with the numbers of its
+    lines beside it. Chunks are whole in their partitions, so that this needs no shuffle. A text's JSON is read once, into a VARIANT.
     """
     lines = lines.groupBy("report", "chunk_index", "raw").agg(F.collect_list("line_no").alias("line_no"))
-    array = F.when(F.col("raw").rlike(r"^\s*\[.*\]\s*$"), P.slots(P.mark_strings(F.col("raw"))))
-    own = lines.select("*", array.alias("v"))
-    line = own.select("report", "chunk_index", "line_no", "raw", F.size("v").alias("n_slots"), P.kind_of(F.get("v", 0)).alias("kind"), P.coverage_type(F.get("v", 1)).alias("type"), P.slots(F.get("v", 2)).alias("sessions"), F.get("v", 4).alias("cx"), F.get("v", 5).alias("points"))
-    fine = F.col("n_slots").between(3, 6) & F.col("kind").isNotNull() & F.col("type").isNotNull() & F.col("sessions").isNotNull() & (F.col("cx").isNull() | P.complexity(F.col("cx"))["valid"])
-    typed = line.select("*", F.coalesce(fine, F.lit(False)).alias("fine"), P.normalized_type(F.col("kind"), F.col("type")).alias("line_type"))
-    rows = typed.select("report", "chunk_index", "line_no", "raw", "fine", "line_type", "points", F.posexplode_outer(F.when(F.col("fine"), F.col("sessions"))).alias("place", "s")).where("s IS NOT NULL OR NOT fine")
-    cut = rows.select("*", P.slots(F.col("s")).alias("p"))
-    read = cut.select(
-        "report", "chunk_index", "line_no", "place", "raw", "fine", "line_type", "s", "points", F.size("p").between(2, 5).alias("arity"), P.number(F.get("p", 0)).alias("session_index"),
-        P.coverage(F.get("p", 1)).alias("cov"), P.missing_branches(F.get("p", 2)).alias("branches"), P.partial_spans(F.get("p", 3)).alias("partials"), P.complexity(F.get("p", 4)).alias("complexity"),
+    own = lines.select("report", "chunk_index", "line_no", "raw", P.items(F.try_parse_json("raw")).alias("v"))
+    line = own.select(
+        "report", "chunk_index", "line_no", "raw", F.size("v").alias("n_slots"), P.slot_of(F.get("v", 0)).alias("s0"), P.slot_of(F.get("v", 1)).alias("s1"), P.items(F.get("v", 2)).alias("sessions"),
+        P.slot_of(F.get("v", 4)).alias("cx"), P.slots_of(F.get("v", 4)).alias("cxs"), F.get("v", 5).alias("v5"), F.transform(P.items(F.get("v", 5)), P.items).alias("points"),
+    )
+    typed = line.select("*", P.kind_of(F.col("s0")).alias("kind"), P.coverage_type(F.col("s1")).alias("type"), F.transform("points", P.datapoint).alias("p5"))
+    points = F.when(F.col("p5").isNull(), F.col("v5").isNull() | F.is_variant_null("v5")).otherwise(F.forall("p5", lambda p: p["valid"]))
+    fine = F.col("n_slots").between(3, 6) & F.col("kind").isNotNull() & F.col("type").isNotNull() & F.col("sessions").isNotNull() & (F.col("cx").isNull() | P.complexity(F.col("cx"), F.col("cxs"))["valid"]) & points
+    judged = typed.select("*", F.coalesce(fine, F.lit(False)).alias("fine"), P.normalized_type(F.col("kind"), F.col("type")).alias("line_type"))
+    rows = judged.select("report", "chunk_index", "line_no", "raw", "fine", "line_type", "p5", F.posexplode_outer(F.when(F.col("fine"), F.col("sessions"))).alias("place", "s")).where("s IS NOT NULL OR NOT fine")
+    cut = rows.select("*", P.items(F.col("s")).alias("p"))
+    arrays = cut.select("*", P.slots_of(F.get("p", 2)).alias("a2"), F.transform(P.items(F.get("p", 3)), P.slots_of).alias("a3"), P.slots_of(F.get("p", 4)).alias("a4"))
+    slots = arrays.select(
+        "report", "chunk_index", "line_no", "place", "raw", "fine", "line_type", "p5", F.size("p").between(2, 5).alias("arity"), P.slot_of(F.get("p", 0)).alias("s0"), P.slot_of(F.get("p", 1)).alias("s1"),
+        *[P.slot_beside(F.get("p", k), F.col(f"a{k}")).alias(f"s{k}") for k in (2, 3, 4)], "a2", "a3", "a4",
+    )
+    read = slots.select(
+        "report", "chunk_index", "line_no", "place", "raw", "fine", "line_type", "p5", "arity", P.number(F.col("s0")).alias("session_index"),
+        P.coverage(F.col("s1")).alias("cov"), P.missing_branches(F.col("s2"), F.col("a2")).alias("branches"), P.partial_spans(F.col("s3"), F.col("a3")).alias("partials"), P.complexity(F.col("s4"), F.col("a4")).alias("complexity"),
     )
     normal = read.select("*", P.normalized(F.col("cov"), F.col("line_type")).alias("n"))
     valid = F.col("arity") & F.col("session_index").isNotNull() & F.col("n.valid") & F.col("branches.valid") & F.col("partials.valid") & F.col("complexity.valid")
     error = F.when(~F.col("fine"), "malformed line").when(~F.coalesce(valid, F.lit(False)), "malformed session")
-    points = F.when(F.col("points").isNotNull(), F.transform(P.slots(F.col("points")), P.slots))
-    mine = F.filter(points, lambda x: P.number(F.get(x, 0)) == F.col("session_index"))
-    labels = F.when(F.size(mine) > 0, P.slots(F.get(F.element_at(mine, -1), 3)))  # of two datapoints of a session the last counts
+    mine = F.filter("p5", lambda x: x["session_index"] == F.col("session_index"))
+    labels = F.when(F.col("p5").isNotNull(), F.get(mine, F.size(mine) - 1)["labels"])  # of two datapoints of a session the last counts
     return normal.select(
         "report", "chunk_index", F.explode("line_no").alias("line_no"), "place", "session_index", F.col("line_type").alias("coverage_type"), "n.hits", "n.hit_branches", "n.total_branches", F.col("complexity.paths").alias("hit_complexity_paths"), F.col("complexity.total").alias("total_complexity"),
         "branches", "partials", labels.alias("labels"), "raw", error.alias("error"),
@@ -153,7 +190,7 @@ def upload_id() -> Column:
 
 
 def parse_reports(report_jsons: DataFrame, chunks: DataFrame, staging: str | None = None, fail_fast: bool = False) -> ParsedReports:
-    """(report, value) of the JSON documents and of the chunks files, as a store.
+    """(report, value) of the JSON documents, and the chunks files as whole texts (report, value) or cut (`read_chunks`), as a store.
 
     Five tables come from the parsed lines. With `staging`, a folder, the parsed lines are written there once
     and read again, so that they are not parsed five times.
@@ -162,11 +199,15 @@ def parse_reports(report_jsons: DataFrame, chunks: DataFrame, staging: str | Non
     files = parse_report_files(report_jsons).withColumn("source_file_id", seahash_id("path"))
     uploads = parse_report_sessions(report_jsons).withColumn("raw_upload_id", upload_id())
     index = parse_labels_index(chunks)
-    samples = parse_line_sessions(parse_report_lines(parse_chunks(chunks)))
+    cut = chunks if "chunk_index" in chunks.columns else parse_chunks(chunks)
+    samples = parse_line_sessions(parse_report_lines(cut))
     placed = samples.join(files.select("report", "chunk_index", "source_file_id"), ["report", "chunk_index"], "left").join(uploads.select("report", "session_index", "raw_upload_id"), ["report", "session_index"], "left")
     unknown = F.when(F.col("source_file_id").isNull(), "unknown chunk").when(F.col("raw_upload_id").isNull(), "unknown session")
     placed = placed.withColumn("error", F.coalesce("error", unknown))
+    headers = chunk_errors(cut)
     if fail_fast:
+        if (broken := headers.first()) is not None:
+            raise ValueError(f"{broken.error}: {broken.raw}")
         placed = placed.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.col("error"), F.lit(": "), F.col("raw")))))
     if staging:
         placed.write.parquet(f"{staging}/samples")
@@ -177,7 +218,7 @@ def parse_reports(report_jsons: DataFrame, chunks: DataFrame, staging: str | Non
         good = spark.read.schema(good.schema).parquet(f"{staging}/numbered")
     key = ["raw_upload_id", "local_sample_id", "source_file_id"]
     # children take ids from their sample's: unique within the upload, without another shuffle
-    child = F.shiftleft("local_sample_id", 20) + F.col("nth")
+    child = F.shiftleft("local_sample_id", 20) + F.when(F.col("nth") < 1 << 20, F.col("nth")).otherwise(F.raise_error(F.lit("a line has over 1,048,576 branches or spans")).cast("int"))
     named = exploded_labels(good, index)
     contexts = named.select("label").unionByName(index.select(F.col("name").alias("label"))).distinct().select(seahash_id("label").alias("id"), F.col("label").alias("name"))
     store = CoverageStore.of(
@@ -190,10 +231,10 @@ def parse_reports(report_jsons: DataFrame, chunks: DataFrame, staging: str | Non
         method_data=good.where("total_complexity IS NOT NULL").select(*key, F.col("local_sample_id").alias("local_method_id"), "line_no", "hit_complexity_paths", "total_complexity"),
         span_data=exploded_partials(good).select(*key, child.alias("local_span_id"), "span.hits", F.col("line_no").alias("start_line"), "span.start_col", F.col("line_no").alias("end_line"), "span.end_col"),
     )
-    return ParsedReports(store, placed.where("error IS NOT NULL").select("report", "chunk_index", "line_no", "raw", "error"))
+    return ParsedReports(store, placed.where("error IS NOT NULL").select("report", "chunk_index", "line_no", "raw", "error").unionByName(headers))
 
 
 def parse_report(spark: SparkSession, report_json_path: str, chunks_path: str, staging: str | None = None, fail_fast: bool = False) -> ParsedReports:
     """One report from its two files."""
     name = F.lit("report")
-    return parse_reports(read_texts(spark, report_json_path, name), read_texts(spark, chunks_path, name), staging, fail_fast)
+    return parse_reports(read_texts(spark, report_json_path, name), read_chunks(spark, chunks_path, name), staging, fail_fast)

@@ -7,6 +7,9 @@ is run again after a failure replaces itself. Ids are hashes, so batches need no
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,7 +19,8 @@ from ..plans.staging import shared_dir
 from ..plans.store import CoverageStore
 from ..sources.report_reader import parse_reports
 
-_CHUNKS = "path string, value string"
+#: Characters that a path pattern reads as more than themselves.
+_GLOB = re.compile(r"([*?{}\[\]\\])")
 
 
 def _reports(batch: DataFrame) -> DataFrame:
@@ -30,8 +34,11 @@ def ingest(spark: SparkSession, folder: str, store_path: str, checkpoint: str, m
     def write(batch: DataFrame, number: int) -> None:
         chunks = _reports(batch)
         session = batch.sparkSession
-        documents = session.read.format("text").option("wholetext", True).load(f"{folder}/*.json").select(F.regexp_replace(F.col("_metadata.file_path"), r"\.json$", "").alias("report"), "value")
-        new = documents.join(chunks.select("report"), "report", "left_semi")
+        names = [r.report for r in chunks.select("report").distinct().collect()]  # max_files at most
+        if not names:
+            return
+        documents = session.read.format("text").option("wholetext", True).load([_GLOB.sub(r"\\\1", unquote(n)) + ".json" for n in names])
+        new = documents.select(F.regexp_replace(F.col("_metadata.file_path"), r"\.json$", "").alias("report"), "value")
         parsed = parse_reports(new, chunks, staging=shared_dir(session))
         for name, table in parsed.store.tables().items():
             table.write.mode("overwrite").parquet(f"{store_path}/{name}/batch={number}")

@@ -179,3 +179,41 @@ def test_written_files_read_back(spark, tmp_path):
     report_writer.write_report(sample_store.build(spark), str(tmp_path / "j"), str(tmp_path / "c"))
     parsed = report_reader.parse_report(spark, str(tmp_path / "j" / "part-*"), str(tmp_path / "c" / "part-*"))
     assert totals.totals(parsed.store).first() == totals.totals(sample_store.build(spark)).first()
+
+
+@pytest.mark.parametrize("header", ['{"labels_index":{"1":"x"}}' + HEADER_END, ""])
+def test_chunks_file_in_many_splits(spark, tmp_path, header):
+    """Chunks are numbered by their place in the file, however the file is cut; parts of one report go on from each other."""
+    chunks = [f"{{}}\n[{k},null,[[0,{k}]]]" + "\n" * (k % 9) for k in range(500)]
+    (tmp_path / "a.chunks").write_text(header + CHUNK_END.join(chunks))
+    whole = {r.chunk_index: r.chunk for r in report_reader.parse_chunks(_text(spark, header + CHUNK_END.join(chunks))).collect()}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        cut = report_reader.read_chunks(spark, str(tmp_path / "a.chunks"), F.lit("r"))
+        rows = cut.collect()
+        assert {r.chunk_index: r.chunk for r in rows} == whole and len(rows) == 500
+        assert spark.read.text(str(tmp_path / "a.chunks"), lineSep=CHUNK_END).rdd.getNumPartitions() > 5
+        assert [r.header for r in rows if r.header is not None] == [header.removesuffix(HEADER_END)] * bool(header)
+        (tmp_path / "p-0").write_text(header + "".join(c + CHUNK_END for c in chunks[:200]))
+        (tmp_path / "p-1").write_text(CHUNK_END.join(chunks[200:]))
+        parts = report_reader.read_chunks(spark, str(tmp_path / "p-*"), F.lit("r")).collect()
+        assert {r.chunk_index: r.chunk for r in parts} == whole
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("point", ["[0]", "[0,1,null]", '[0,1,"z",["a"]]', '["0",1,null,["a"]]', "[0,1,null,[true]]", '[0,"x",null,["a"]]', "7", '[0,1,null,["a"],1]'])
+def test_malformed_datapoints(spark, point):
+    rows = _lines(spark, f"[1,null,[[0,1]],null,null,[{point}]]", '[1,null,[[0,1]],null,null,[[0,1,null,["a",3]]]]', "[1,null,[[0,1]],null,null,[]]", "[1,null,[[0,1]],null,null,null]").collect()
+    assert [bool(r.error) for r in sorted(rows, key=lambda r: r.line_no)] == [True, False, False, False]
+
+
+def test_malformed_chunk_headers(spark):
+    chunks = spark.createDataFrame([("r", k, c) for k, c in enumerate(["{}\n[1,null,[[0,1]]]", "null", '{"present_sessions":[0]}\n', "[1,null,[[0,1]]]", "{\n", "[]\n", ""])], "report string, chunk_index long, chunk string")
+    assert sorted(r.chunk_index for r in report_reader.chunk_errors(chunks).collect()) == [3, 4, 5, 6]
+    document, texts = _text(spark, '{"files":{"a":[0,[],null,null]},"sessions":{"0":{}}}'), _text(spark, "oops\n[1,null,[[0,1]]]")
+    parsed = report_reader.parse_reports(document, texts)
+    assert [(r.error, r.line_no) for r in parsed.errors.collect()] == [("malformed chunk header", 0)] and parsed.store.coverage_sample.count() == 1
+    with pytest.raises(ValueError, match="malformed chunk header"):
+        report_reader.parse_reports(document, texts, fail_fast=True)
