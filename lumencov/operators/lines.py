@@ -40,7 +40,7 @@ def present_sessions(store: CoverageStore) -> DataFrame:
 _SUMMED = ["hits", "hit_branches", "total_branches", "hit_complexity_paths", "total_complexity"]
 
 
-def line_sessions(store: CoverageStore) -> DataFrame:
+def sessions_of_lines(store: CoverageStore) -> DataFrame:
     """A row for each (file, line, upload), each of a sample's children brought down to one value before it is joined.
 
     Of several samples there, the one with the least id counts. Sums over a line's uploads are windows over the rows
@@ -55,11 +55,20 @@ def line_sessions(store: CoverageStore) -> DataFrame:
     placed = rows.repartition("source_file_id", "line_no").withColumn("__n", first).where("__n = 1")
     summed = placed.select("*", *[F.sum(c).over(line).alias(f"report_line_{c}") for c in _SUMMED])
     sessions = session_index(store).withColumnRenamed("id", "raw_upload_id")
-    return summed.join(present_sessions(store), "source_file_id").join(sessions, "raw_upload_id").select(
+    files = chunk_index(store).select("chunk_index", F.col("id").alias("source_file_id"))
+    return summed.join(files, "source_file_id").join(sessions, "raw_upload_id").select(
+        "chunk_index", "line_no", "coverage_type", *[f"report_line_{c}" for c in _SUMMED], "session_index", *_SUMMED, "missing_branches", "partials", "labels"
+    )
+
+
+def line_sessions(store: CoverageStore) -> DataFrame:
+    """sessions_of_lines with the list of the file's uploads in every row."""
+    present = present_sessions(store).select("chunk_index", "present_sessions")
+    return sessions_of_lines(store).join(present, "chunk_index").select(
         "chunk_index", "line_no", "coverage_type", *[f"report_line_{c}" for c in _SUMMED], "session_index", "present_sessions", *_SUMMED, "missing_branches", "partials", "labels"
     )
 
 
 def report_line_totals(store: CoverageStore) -> DataFrame:
     """Sums over the uploads of each line."""
-    return line_sessions(store).select("chunk_index", "line_no", *[F.col(f"report_line_{c}").alias(c) for c in _SUMMED]).distinct()
+    return sessions_of_lines(store).select("chunk_index", "line_no", *[F.col(f"report_line_{c}").alias(c) for c in _SUMMED]).distinct()

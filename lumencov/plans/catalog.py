@@ -21,16 +21,6 @@ def _on(operator: Callable[[CoverageStore], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(star_schema.load(spark, sf_dir))
 
 
-def _picked(operator: Callable[[CoverageStore, DataFrame], DataFrame]) -> Query:
-    """A look-up for a few samples of some uploads."""
-
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        own = star_schema.load(spark, sf_dir)
-        return operator(own, own.coverage_sample.where("raw_upload_id % 10 = 3 AND local_sample_id % 7 = 1"))
-
-    return query
-
-
 def _of_all_samples(operator: Callable[[CoverageStore, DataFrame], DataFrame]) -> Query:
     """A look-up for every sample of the store."""
     return _on(lambda store: operator(store, store.coverage_sample))
@@ -47,6 +37,37 @@ def _merged(table: str) -> Query:
     return query
 
 
+def _written(table: str) -> Query:
+    """A table written by the store's atomic write and read back."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = getattr(star_schema.load(spark, sf_dir), table)
+        return getattr(CoverageStore.of(**{table: own}).write(f"{shared_dir(spark)}/store"), table)
+
+    return query
+
+
+def _appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of one half of the uploads written, those of the other appended, and all read back."""
+    own, path = star_schema.load(spark, sf_dir), f"{shared_dir(spark)}/store"
+    half = lambda odd: CoverageStore.of(raw_upload=own.raw_upload.where(F.col("id") % 2 == odd), source_file=own.source_file, coverage_sample=own.coverage_sample.where(F.col("raw_upload_id") % 2 == odd))
+    first = half(0).write(path)
+    first.append(half(1), path)
+    again = CoverageStore.read(spark, path)
+    return again.coverage_sample.join(again.source_file.select(F.col("id").alias("source_file_id")), "source_file_id").select(*own.coverage_sample.columns)  # a file that was added twice would double its samples
+
+
+def _inserted(table: str, column: str) -> Query:
+    """Files or contexts inserted into an empty store by name, with hashed ids."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        names = getattr(star_schema.load(spark, sf_dir), table).select(column).distinct()
+        empty = CoverageStore.empty(spark)
+        return getattr(empty.insert_files(names) if column == "path" else empty.insert_contexts(names), table).select(column)
+
+    return query
+
+
 def _chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks that the writer makes of the store, as a parser's input: (report, chunk_index, chunk)."""
     return report_writer.chunks_text(star_schema.load(spark, sf_dir)).select(F.lit("r").alias("report"), "chunk_index", "chunk")
@@ -89,13 +110,16 @@ def _parse_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_reader.parse_report_sessions(_json_text(spark, sf_dir)).select("session_index", "timestamp", "flags", "name", "job_name", "session_type", "session_extras")
 
 
-def _document_text(own: CoverageStore) -> DataFrame:
-    return report_writer.chunks_document(own).select(F.lit("r").alias("report"), "value")
+def _written_report(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Folders of the store's two documents, as files."""
+    folder = shared_dir(spark)
+    report_writer.write_report(star_schema.load(spark, sf_dir), f"{folder}/json", f"{folder}/chunks")
+    return f"{folder}/json", f"{folder}/chunks"
 
 
 def _read_again(spark: SparkSession, sf_dir: str) -> CoverageStore:
-    """The store written as a report and read again."""
-    return report_reader.parse_reports(_json_text(spark, sf_dir), _document_text(star_schema.load(spark, sf_dir)), staging=shared_dir(spark)).store
+    """The store written as a report's files and read again."""
+    return report_reader.parse_report(spark, *_written_report(spark, sf_dir), staging=shared_dir(spark)).store
 
 
 def _parse_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +141,8 @@ def _explode_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parse_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report_reader.parse_chunks(_document_text(star_schema.load(spark, sf_dir))).select("chunk_index", "chunk")
+    """Chunks of the written files, but for the line feed that ends the last."""
+    return report_reader.read_chunks(spark, _written_report(spark, sf_dir)[1], F.lit("r")).select("chunk_index", F.regexp_replace("chunk", r"\n$", "").alias("chunk"))
 
 
 def _to_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,14 +180,14 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {f"scan_{t}": _on(lambda s, t=t: getattr(s, t)) for t in schema.TABLES}
     out |= {
         "list_files": _on(lists.list_files), "list_contexts": _on(lists.list_contexts), "list_raw_uploads": _on(lists.list_raw_uploads), "list_coverage_samples": _on(lists.list_coverage_samples),
-        "branches_for_sample": _picked(lists.branches_for_samples), "method_for_sample": _picked(lists.methods_for_samples), "spans_for_sample": _picked(lists.spans_for_samples), "contexts_for_sample": _picked(lists.contexts_for_samples),
         "branches_for_samples": _of_all_samples(lists.branches_for_samples), "methods_for_samples": _of_all_samples(lists.methods_for_samples), "spans_for_samples": _of_all_samples(lists.spans_for_samples), "contexts_for_samples": _of_all_samples(lists.contexts_for_samples),
-        "samples_for_file": _on(lambda s: lists.samples_for_files(s, s.source_file.where("id % 20 = 1"))), "samples_for_files": _on(lambda s: lists.samples_for_files(s, s.source_file)),
+        "samples_for_files": _on(lambda s: lists.samples_for_files(s, s.source_file)),
         "totals": _on(totals.totals), "line_status": _on(status.line_status), "flattened_lines": _on(files.flattened_lines), "chunk_index": _on(files.chunk_index), "file_totals": _on(files.file_totals), "coverage_pct": _on(files.file_coverage),
         "session_index": _on(sessions.session_index), "session_totals": _on(sessions.session_totals),
         "line_sessions": _on(lines.line_sessions), "report_line_totals": _on(lines.report_line_totals), "present_sessions": _on(lines.present_sessions), "missing_branches": _on(lines.missing_branches), "line_partials": _on(lines.line_partials), "line_labels": _on(lines.line_labels),
         "label_index": _on(labels.label_index), "labels_index": _on(labels.labels_header),
-        "merge_dims": _merged("raw_upload"), "merge_facts": _merged("coverage_sample"),
+        "merge_dims": _merged("raw_upload"), "merge_facts": _merged("coverage_sample"), **{f"merge_{t}": _merged(t) for t in schema.TABLES if t not in ("raw_upload", "coverage_sample")},
+        **{f"write_{t}": _written(t) for t in schema.TABLES}, "append_store": _appended, "insert_files": _inserted("source_file", "path"), "insert_contexts": _inserted("context", "name"),
         "format_coverage": _on(lambda s: s.coverage_sample.select(*lists.SAMPLE_KEY, formats.format_coverage(F.col("hits"), F.col("hit_branches"), F.col("total_branches")).alias("coverage"), formats.format_type(F.col("coverage_type")).alias("type"))),
         "format_complexity": _on(lambda s: s.method_data.select(*lists.SAMPLE_KEY, formats.format_complexity(F.col("hit_complexity_paths"), F.col("total_complexity")).alias("complexity"))),
         "strip_trailing_nulls": _on(lambda s: s.span_data.select(*lists.SAMPLE_KEY, formats.trimmed_array([F.col("start_col").cast("string"), F.col("hits").cast("string"), F.lit("null"), F.col("end_col").cast("string")]).alias("trimmed"))),

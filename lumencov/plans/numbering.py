@@ -20,17 +20,19 @@ def dense_numbers(df: DataFrame, key: str, bucket: Column, order: list[str], nam
     return own.withColumn("__inner", inner).join(starts, [key, "__bucket"]).withColumn(name, (F.col("__first") + F.col("__inner") - 1).cast("long")).drop("__bucket", "__inner", "__first")
 
 
-#: Ids are 64-bit hashes; their high bits cut the id range into at most 65,536 even buckets.
-BUCKET_SHIFT = 48
+#: Buckets of an id range.
+BUCKETS = 65_536
 
 
 def indexed(dimension: DataFrame, name: str, first: int = 0, by: str = "id") -> DataFrame:
     """A dimension with its place in the order of signed ids, from `first`.
 
-    Each bucket of the id range is numbered apart; only the counts of the buckets (65,536 at most)
-    meet in one task, for their running sum.
+    The range from the least to the largest id is cut into BUCKETS even buckets, be the ids hashes or small numbers. Each is
+    numbered apart; only the counts of the buckets meet in one task, for their running sum.
     """
-    own = dimension.withColumn("__bucket", F.shiftright(by, BUCKET_SHIFT))
+    ends = dimension.agg(F.min(by).cast("double").alias("__low"), F.max(by).cast("double").alias("__high"))
+    part = (F.col(by).cast("double") - F.col("__low")) / (F.col("__high") - F.col("__low") + 1)
+    own = dimension.crossJoin(F.broadcast(ends)).withColumn("__bucket", F.floor(part * BUCKETS)).drop("__low", "__high")  # one row
     counts = own.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))

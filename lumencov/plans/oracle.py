@@ -104,8 +104,6 @@ def _over(body: str, *more: str) -> str:
     return "WITH " + ",".join([STORE, *more]) + " " + body
 
 
-_PICK = "raw_upload_id % 10 = 3 AND local_sample_id % 7 = 1"
-
 TOTALS = """SELECT (SELECT count(*) FROM source_file) AS file_count, (SELECT count(*) FROM raw_upload) AS upload_count, (SELECT count(*) FROM context) AS test_case_count,
   count(*) FILTER (coverage_type = 'l' AND hits > 0) AS hit_lines, count(*) FILTER (coverage_type = 'l') AS total_lines,
   CAST(coalesce(sum(s.hit_branches) FILTER (coverage_type = 'b'), 0) AS BIGINT) AS hit_branches, CAST(coalesce(sum(s.total_branches) FILTER (coverage_type = 'b'), 0) AS BIGINT) AS total_branches,
@@ -123,20 +121,20 @@ _REPORT_JSON = """SELECT '{"files":{' || coalesce((SELECT string_agg(to_json(pat
 def oracle_sql() -> dict[str, str]:
     s, l, d = _STATUS, _LINES, _DOCUMENTS  # noqa: E741
     out = {f"scan_{t}": _over(f"SELECT * FROM {t}") for t in ("source_file", "raw_upload", "context", "context_assoc", "coverage_sample", "branches_data", "method_data", "span_data")}
+    tables = [k.removeprefix("scan_") for k in out]
+    out |= {f"merge_{t}": _over(f"SELECT * FROM {t}") for t in tables if t not in ("raw_upload", "coverage_sample")} | {f"write_{t}": _over(f"SELECT * FROM {t}") for t in tables}
     out |= {
+        "append_store": _over("SELECT * FROM coverage_sample"),
+        "insert_files": _over("SELECT DISTINCT path FROM source_file"),
+        "insert_contexts": _over("SELECT DISTINCT name FROM context"),
         "list_files": _over("SELECT id, path FROM source_file"),
         "list_contexts": _over("SELECT id, name FROM context"),
         "list_raw_uploads": _over("SELECT * FROM raw_upload"),
         "list_coverage_samples": _over("SELECT * FROM coverage_sample"),
-        "branches_for_sample": _over(f"SELECT * FROM branches_data WHERE {_PICK}"),
-        "method_for_sample": _over(f"SELECT * FROM method_data WHERE {_PICK}"),
-        "spans_for_sample": _over(f"SELECT * FROM span_data WHERE {_PICK}"),
-        "contexts_for_sample": _over(f"SELECT raw_upload_id, local_sample_id, id, name FROM context_assoc JOIN context ON context_id = id WHERE {_PICK}"),
         "branches_for_samples": _over("SELECT * FROM branches_data"),
         "methods_for_samples": _over("SELECT * FROM method_data"),
         "spans_for_samples": _over("SELECT * FROM span_data"),
         "contexts_for_samples": _over("SELECT raw_upload_id, local_sample_id, id, name FROM context_assoc JOIN context ON context_id = id"),
-        "samples_for_file": _over("SELECT * FROM coverage_sample WHERE source_file_id % 20 = 1"),
         "samples_for_files": _over("SELECT * FROM coverage_sample WHERE source_file_id IN (SELECT id FROM source_file)"),
         "totals": _over(TOTALS),
         "line_status": _over("SELECT * FROM line_status", s),

@@ -1,4 +1,12 @@
-"""Writes a store as reports: the JSON of files and sessions, and the chunks of lines."""
+"""Writes a store as reports: the JSON of files and sessions, and the chunks of lines.
+
+`write_report` writes rows of the documents, so that no document has to fit a row: the chunks file as part files of ranges of
+chunks, to be joined byte by byte in the order of their names (or read as they are), the JSON as one file of one task. `report_json` and
+`chunks_document` give whole documents in a row each, for stores whose documents fit one (2 GB).
+
+A line has one type, that of its first session. A session of another type is written as it is, so a line that begins with a branch and has
+a plain hit count over 2 in another session breaks the grammar when it is read; the reader puts such sessions among its errors.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.formats import coverage_pct, format_complexity, format_coverage, format_type, json_or_null, quoted, totals_array, trimmed_array
 from ..operators.files import chunk_index, file_totals
 from ..operators.labels import labels_header
-from ..operators.lines import line_sessions
+from ..operators.lines import present_sessions, sessions_of_lines
 from ..operators.sessions import session_totals
 from ..plans.store import CoverageStore
 from .formats import CHUNK_END, EMPTY_CHUNK, HEADER_END, SESSION_KEYS
@@ -43,20 +51,35 @@ def report_json(store: CoverageStore) -> DataFrame:
     return files.crossJoin(sessions).select(F.concat(F.lit('{"files":{'), F.col("files"), F.lit('},"sessions":{'), F.col("sessions"), F.lit("}}")).alias("report_json"))
 
 
+def report_json_rows(store: CoverageStore) -> DataFrame:
+    """The JSON document as rows of text (part, place, value), to be put one below the other by (part, place)."""
+    mark = lambda part, text: store.spark.range(1).select(F.lit(part).alias("part"), F.lit("").alias("place"), F.lit(text).alias("value"))
+
+    def entries(rows: DataFrame, part: int) -> DataFrame:
+        """A comma goes before every entry but the first; which is first comes from one row."""
+        first = rows.agg(F.min("place").alias("first"))
+        comma = F.when(F.col("place") == F.col("first"), "").otherwise(",")
+        return rows.crossJoin(F.broadcast(first)).select(F.lit(part).alias("part"), "place", F.concat(comma, "value").alias("value"))
+
+    files = report_json_files(store).select(F.col("path").alias("place"), F.concat(quoted(F.col("path")), F.lit(":"), "entry").alias("value"))
+    sessions = report_json_sessions(store).select(F.lpad("session_index", 20, "0").alias("place"), F.concat(F.lit('"'), "session_index", F.lit('":'), "entry").alias("value"))
+    return mark(0, '{"files":{').unionByName(entries(files, 1)).unionByName(mark(2, '},"sessions":{')).unionByName(entries(sessions, 3)).unionByName(mark(4, "}}"))
+
+
 def _session_json() -> Column:
     return trimmed_array([F.col("session_index").cast("string"), F.col("coverage"), F.col("missing_branches"), F.col("partials"), F.col("complexity")])
 
 
 def report_lines(store: CoverageStore) -> DataFrame:
     """The JSON line of each (chunk, line): sessions by index, the line's type that of the first."""
-    rows = line_sessions(store).select(
+    rows = sessions_of_lines(store).select(
         "*", format_coverage(F.col("hits"), F.col("hit_branches"), F.col("total_branches")).alias("coverage"), format_complexity(F.col("hit_complexity_paths"), F.col("total_complexity")).alias("complexity"), format_type(F.col("coverage_type")).alias("type")
     )
     point = F.when(F.col("labels").isNotNull(), F.concat(F.lit("["), F.concat_ws(",", F.col("session_index").cast("string"), "coverage", "type", "labels"), F.lit("]")))
     own = rows.select("*", _session_json().alias("session"), point.alias("point"))
     sums = ["hits", "hit_branches", "total_branches", "hit_complexity_paths", "total_complexity"]
     lines = own.groupBy("chunk_index", "line_no").agg(
-        F.array_sort(F.collect_list(F.struct("session_index", "session", "point", "type"))).alias("s"), *[F.first(f"report_line_{c}").alias(c) for c in sums], F.first("present_sessions").alias("present_sessions")
+        F.array_sort(F.collect_list(F.struct("session_index", "session", "point", "type"))).alias("s"), *[F.first(f"report_line_{c}").alias(c) for c in sums]
     )
     points = F.filter(F.transform("s", lambda x: x["point"]), lambda p: p.isNotNull())
     joined = lambda c: F.concat(F.lit("["), F.array_join(c, ","), F.lit("]"))
@@ -64,7 +87,7 @@ def report_lines(store: CoverageStore) -> DataFrame:
         format_coverage(F.col("hits"), F.col("hit_branches"), F.col("total_branches")), F.col("s")[0]["type"], joined(F.transform("s", lambda x: x["session"])), F.lit("null"),
         format_complexity(F.col("hit_complexity_paths"), F.col("total_complexity")), F.when(F.size(points) > 0, joined(points)),
     ])
-    return lines.select("chunk_index", "line_no", line.alias("line"), "present_sessions")
+    return lines.select("chunk_index", "line_no", line.alias("line"))
 
 
 def chunks_text(store: CoverageStore) -> DataFrame:
@@ -72,7 +95,8 @@ def chunks_text(store: CoverageStore) -> DataFrame:
 
     A line brings the line breaks that lead to it, so gaps need no rows of their own. A file without samples is an empty chunk.
     """
-    by_file = report_lines(store).groupBy("chunk_index").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"), F.first("present_sessions").alias("p"))
+    by_file = report_lines(store).groupBy("chunk_index").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    by_file = by_file.join(present_sessions(store).select("chunk_index", F.col("present_sessions").alias("p")), "chunk_index")  # once for a chunk
     before = lambda x, i: F.when(i == 0, F.lit(0)).otherwise(F.get("l", i - 1)["line_no"])
     text = F.array_join(F.transform("l", lambda x, i: F.concat(F.repeat(F.lit("\n"), (x["line_no"] - before(x, i)).cast("int")), x["line"])), "")
     chunk = F.when(F.col("l").isNotNull(), F.concat(F.lit('{"present_sessions":'), F.col("p"), F.lit("}"), text)).otherwise(EMPTY_CHUNK)
@@ -85,7 +109,15 @@ def chunks_document(store: CoverageStore) -> DataFrame:
     return labels_header(store).crossJoin(body).select(F.concat(F.col("header"), F.lit(HEADER_END), F.col("body")).alias("value"))
 
 
+def chunks_rows(store: CoverageStore) -> DataFrame:
+    """The chunks file as rows (place, value), each to be ended by a line feed: the header, then every chunk with the terminator that follows it."""
+    last = F.broadcast(chunk_index(store).agg(F.max("chunk_index").alias("last")))
+    end = F.when(F.col("chunk_index") < F.col("last"), F.lit(CHUNK_END.removesuffix("\n"))).otherwise("")
+    chunks = chunks_text(store).crossJoin(last).select(F.col("chunk_index").alias("place"), F.concat("chunk", end).alias("value"))
+    return labels_header(store).select(F.lit(-1).cast("long").alias("place"), F.concat("header", F.lit(HEADER_END.removesuffix("\n"))).alias("value")).unionByName(chunks)
+
+
 def write_report(store: CoverageStore, report_json_path: str, chunks_path: str) -> None:
-    """Writes the two documents as text, each in a folder of one part file; a line feed ends each."""
-    report_json(store).select(F.col("report_json").alias("value")).coalesce(1).write.text(report_json_path)
-    chunks_document(store).coalesce(1).write.text(chunks_path)
+    """Writes the two documents as text folders: one file of the JSON, and parts of the chunks file in order. A line feed ends each document."""
+    report_json_rows(store).orderBy("part", "place").coalesce(1).select("value").write.text(report_json_path)
+    chunks_rows(store).repartitionByRange("place").sortWithinPartitions("place").select("value").write.text(chunks_path)

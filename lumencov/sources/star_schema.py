@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.numbering import dense_numbers
 from ..plans.store import CoverageStore
 
 _ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as samples: one for each row, numbered within its supplier."""
-    number = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*_ORDER)) - 1
+    """lineitem as samples: one for each row, numbered within its supplier in ranges of orders, so that a large supplier is no single task's work."""
+    numbered = dense_numbers(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_suppkey", F.expr("l_orderkey div 65536"), _ORDER, "local_sample_id")
     line = F.col("l_linenumber").cast("long")
     kind = F.when(F.col("l_returnflag") == "N", "l").when(F.col("l_returnflag") == "A", "b").otherwise("m")
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        "l_orderkey", line.alias("n"), F.col("l_suppkey").cast("long").alias("raw_upload_id"), number.cast("long").alias("local_sample_id"), F.col("l_partkey").cast("long").alias("source_file_id"), F.col("l_quantity").cast("long").alias("line_no"),
+    return numbered.select(
+        "l_orderkey", line.alias("n"), F.col("l_suppkey").cast("long").alias("raw_upload_id"), "local_sample_id", F.col("l_partkey").cast("long").alias("source_file_id"), F.col("l_quantity").cast("long").alias("line_no"),
         kind.alias("coverage_type"), F.when(kind != "b", line - 1).alias("hits"), F.when(kind == "b", F.least(line - 1, F.lit(4).cast("long"))).alias("hit_branches"), F.when(kind == "b", F.lit(4).cast("long")).alias("total_branches"),
     )
 

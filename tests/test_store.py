@@ -87,3 +87,38 @@ def test_known_totals_of_the_star_schema(spark):
     if not os.path.isdir("/root/testdata/sf0.01"):
         pytest.skip("no tables")
     assert tuple(totals.totals(star_schema.load(spark, "/root/testdata/sf0.01")).first()) == (2000, 100, 5, 17076, 19926, 51679, 80112, 20028, 17197, 20046, 28399, 82976)
+
+
+def test_duplicates_are_errors(spark):
+    store = sample_store.build(spark)
+    paths = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    more = store.insert_files(paths("new/a.rs", "new/b.rs"))
+    assert more.source_file.count() == store.source_file.count() + 2
+    with pytest.raises(ValueError, match="there already"):
+        more.insert_files(paths("new/a.rs"))
+    with pytest.raises(ValueError, match="there already"):
+        store.insert_files(paths("c.rs", "c.rs"))
+    names = spark.createDataFrame([("x",)], "name string")
+    with pytest.raises(ValueError, match="there already"):
+        store.insert_contexts(names).insert_contexts(names)
+    with pytest.raises(ValueError, match="coverage_sample has a key twice"):
+        store.merge(store, strict=True)
+    other = CoverageStore.of(coverage_sample=spark.createDataFrame([(99, 0, 7, 1, "l", 1, None, None)], schema.TABLES["coverage_sample"]))
+    assert store.merge(other, strict=True).coverage_sample.count() == 10
+
+
+def test_a_failed_append_adds_nothing(spark, tmp_path):
+    path = str(tmp_path / "store")
+    first = sample_store.build(spark).write(path)
+    bad = CoverageStore.of(source_file=spark.createDataFrame([(50, "x")], "id long, path string"), span_data=first.span_data.withColumn("hits", F.raise_error(F.lit("no")).cast("long")))
+    with pytest.raises(Exception):  # noqa: B017
+        first.append(bad, path)
+    again = CoverageStore.read(spark, path)
+    assert again.source_file.count() == 2 and [p.name for p in tmp_path.iterdir()] == ["store"]
+
+
+def test_small_and_hashed_ids_are_numbered_in_many_buckets(spark):
+    for ids in (list(range(3000)), [(k * 7919**4) % (1 << 63) * (1 if k % 2 else -1) for k in range(3000)], [5], []):
+        ids = sorted(set(ids))
+        got = numbering.indexed(spark.createDataFrame([(x,) for x in ids], "id long"), "i").orderBy("id").collect()
+        assert [(r.id, r.i) for r in got] == [(x, k) for k, x in enumerate(ids)]
