@@ -140,6 +140,32 @@ def _explode_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+#: What a fact says besides where it stands.
+_SAID = {
+    "coverage_sample": ["coverage_type", "hits", "hit_branches", "total_branches"], "branches_data": ["hits", "branch_format", "branch"], "method_data": ["hit_complexity_paths", "total_complexity"],
+    "span_data": ["hits", "start_line", "start_col", "end_line", "end_col"], "context_assoc": ["label"],
+}
+
+
+def _reread(table: str) -> Query:
+    """Every row of a fact table that was read again, by path, name of the upload and line, as ids are new."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        again = _read_again(spark, sf_dir)
+        files = again.source_file.select(F.col("id").alias("source_file_id"), "path")
+        uploads = again.raw_upload.select(F.col("id").alias("raw_upload_id"), F.col("name").alias("upload"))
+        samples = again.coverage_sample.join(files, "source_file_id").join(uploads, "raw_upload_id")
+        if table == "coverage_sample":
+            return samples.select("path", "upload", "line_no", *_SAID[table])
+        facts = getattr(again, table)
+        if table == "context_assoc":
+            facts = facts.join(again.context.select(F.col("id").alias("context_id"), F.col("name").alias("label")), "context_id")
+        placed = samples.select(*lists.SAMPLE_KEY, "path", "upload", "line_no").join(facts.select(*lists.SAMPLE_KEY, *_SAID[table]), lists.SAMPLE_KEY)
+        return placed.drop(*lists.SAMPLE_KEY)
+
+    return query
+
+
 def _parse_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of the written files, but for the line feed that ends the last."""
     return report_reader.read_chunks(spark, _written_report(spark, sf_dir)[1], F.lit("r")).select("chunk_index", F.regexp_replace("chunk", r"\n$", "").alias("chunk"))
@@ -198,6 +224,8 @@ def queries() -> dict[str, Query]:
         "parse_labels_index": lambda spark, d: report_reader.parse_labels_index(_header_text(spark, d)).select("label", "name"),
         "parse_report_json": lambda spark, d: report_reader.parse_report_files(_json_text(spark, d)).select("chunk_index", "path"), "parse_sessions": _parse_sessions,
         "parse_report": _parse_report, "explode_models": _explode_models, "parse_chunks": _parse_chunks, "to_report": _to_report, "assign_local_ids": _assign_local_ids,
+        **{f"reread_{t}": _reread(t) for t in _SAID}, "reread_source_file": lambda spark, d: _read_again(spark, d).source_file.select("path"), "reread_context": lambda spark, d: _read_again(spark, d).context.select("name"),
+        "reread_raw_upload": lambda spark, d: _read_again(spark, d).raw_upload.drop("id"),
         "parse_report_lines": lambda spark, d: report_reader.parse_report_lines(_chunk_texts(spark, d)).select("chunk_index", "line_no", "raw"),
         "parse_coverage": _parse_value(lambda s: s.coverage_sample.withColumn("value", formats.format_coverage(F.col("hits"), F.col("hit_branches"), F.col("total_branches"))), parsing.coverage),
         "parse_coverage_type": _parse_value(lambda s: s.coverage_sample.withColumn("value", formats.format_type(F.col("coverage_type"))), parsing.coverage_type),

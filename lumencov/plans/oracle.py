@@ -99,6 +99,12 @@ reparsed AS (
   WHERE NOT (lt = 'b' AND coalesce(hits, 0) > 2))
 """
 
+_REREAD = """
+reread AS (
+  SELECT path, name AS upload, line_no, coverage_type, hits, hit_branches, total_branches, hit_complexity_paths, total_complexity, missing_branches, partials, labels
+  FROM reparsed JOIN chunk_index USING (chunk_index) JOIN session_index USING (session_index) JOIN raw_upload ON raw_upload.id = session_index.id)
+"""
+
 
 def _over(body: str, *more: str) -> str:
     return "WITH " + ",".join([STORE, *more]) + " " + body
@@ -182,6 +188,14 @@ def oracle_sql() -> dict[str, str]:
         "explode_models": _over("""SELECT 'coverage_sample' AS "table", count(*) AS n FROM reparsed UNION ALL SELECT 'branches_data', count(*) FROM (SELECT unnest(from_json(missing_branches, '["VARCHAR"]')) FROM reparsed)
             UNION ALL SELECT 'method_data', count(*) FILTER (total_complexity IS NOT NULL) FROM reparsed UNION ALL SELECT 'span_data', count(*) FROM (SELECT unnest(from_json(partials, '[["BIGINT"]]')) FROM reparsed)
             UNION ALL SELECT 'context_assoc', count(*) FROM (SELECT unnest(from_json(labels, '["VARCHAR"]')) FROM reparsed)""", s, l, _REPARSED),
+        "reread_source_file": _over("SELECT path FROM file_totals", s),
+        "reread_raw_upload": _over("SELECT u.* EXCLUDE (id) FROM raw_upload u WHERE id IN (SELECT raw_upload_id FROM coverage_sample)"),
+        "reread_context": _over("SELECT name FROM context"),
+        "reread_coverage_sample": _over("SELECT path, upload, line_no, coverage_type, hits, hit_branches, total_branches FROM reread", s, l, _REPARSED, _REREAD),
+        "reread_branches_data": _over("SELECT path, upload, line_no, CAST(0 AS BIGINT) AS hits, 'l' AS branch_format, unnest(from_json(missing_branches, '[\"VARCHAR\"]')) AS branch FROM reread WHERE missing_branches IS NOT NULL", s, l, _REPARSED, _REREAD),
+        "reread_method_data": _over("SELECT path, upload, line_no, hit_complexity_paths, total_complexity FROM reread WHERE total_complexity IS NOT NULL", s, l, _REPARSED, _REREAD),
+        "reread_span_data": _over("SELECT path, upload, line_no, p[3] AS hits, line_no AS start_line, p[1] AS start_col, line_no AS end_line, p[2] AS end_col FROM (SELECT path, upload, line_no, unnest(from_json(partials, '[[\"BIGINT\"]]')) AS p FROM reread WHERE partials IS NOT NULL)", s, l, _REPARSED, _REREAD),
+        "reread_context_assoc": _over("SELECT path, upload, line_no, unnest(from_json(labels, '[\"VARCHAR\"]')) AS label FROM reread WHERE labels IS NOT NULL", s, l, _REPARSED, _REREAD),
         "parse_chunks": _over("SELECT * FROM chunks_text", s, l, d),
         "to_report": _over(f"SELECT ({_REPORT_JSON}) AS report_json, ({_HEADER}) || '{HEADER_END}' || (SELECT string_agg(chunk, '{CHUNK_END}' ORDER BY chunk_index) FROM chunks_text) AS chunks", s, l, d),
         "assign_local_ids": _over("SELECT raw_upload_id, local_sample_id, source_file_id, line_no FROM coverage_sample"),
